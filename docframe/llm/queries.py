@@ -10,6 +10,7 @@ from docframe.llm.common import table
 from docframe.llm.media import media_features
 from docframe.llm.minhash import near_duplicates
 from docframe.llm.packing import pack
+from docframe.llm.secrets import span_digests
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +25,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_media": op2_media,
     "op3_packing": op3_packing,
+    "op4_secrets": op4_secrets,
 }
 
 SQL: dict[str, str] = {}
