@@ -1,10 +1,11 @@
 """Near-duplicate detection with b-bit MinHash signatures.
 
-One Arrow pass turns a text into its distinct word shingles and keeps, per document, the
-size and a 128-bit key of the set, the minima of ``PERMS`` hash functions cut to their low
-``BITS`` bits and packed into longs, and a hash of each band of whole minima. Bands give
-candidates; the packed bits, compared by bit counts in the JVM and corrected for chance
-collisions, throw out most; the rest are confirmed on the full shingle sets.
+A first Arrow pass turns a text into its distinct word shingles and keeps, per document, the
+size and a 128-bit key of the set and a hash of each band of whole minima. Documents that
+share a band with another get, in a second pass, their sets and signatures: the low ``BITS``
+bits of the minima of ``PERMS`` hash functions, packed into longs. Signatures are compared by
+bit counts in the JVM and corrected for chance collisions, which throws out most
+candidates; the rest are confirmed on the full shingle sets.
 
 Skew: equal sets become one class before anything is paired, so copies never meet. In a
 bucket, members are first tried against the bucket's smallest class only. What a bucket
@@ -26,9 +27,9 @@ from docframe.llm.common import U, mix, slices, texts_of, word_hashes
 from docframe.llm.components import connected_components
 from docframe.session import cut, release
 
-PERMS, BITS, BANDS, ROWS = 128, 4, 25, 5
+PERMS, BITS, BANDS, ROWS = 1024, 1, 25, 5
 #: Standard deviations by which an estimate may fall short before a candidate is dropped.
-MARGIN = 5.0
+MARGIN = 4.5
 _rng = np.random.Generator(np.random.PCG64(7))
 _MULTIPLIERS = _rng.integers(1, 1 << 63, PERMS, dtype=np.uint64) * U(2) + U(1)
 _PLACES = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
@@ -36,8 +37,8 @@ _BAND_SEEDS = _rng.integers(1, 1 << 63, BANDS, dtype=np.uint64)
 #: Bits of the fixed-size filter that tells which documents may need their sets (1 MiB).
 FILTER_BITS = 1 << 23
 
-FEATURES = "doc_id long, n_shingles long, key1 long, key2 long, signature array<long>, bands array<long>"
-SETS = "id long, shingles array<long>"
+FEATURES = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"
+SETS = "id long, shingles array<long>, signature array<long>"
 
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,26 +70,30 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(parts) if parts else np.zeros(0, U)), sizes
 
 
-def signatures(members: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed low bits and band hashes for every set of at least one member."""
+def _minima(members: np.ndarray, sizes: np.ndarray, perms: int) -> Iterator[np.ndarray]:
+    """For each hash function, the mixed minima of every set of at least one member."""
     starts = np.concatenate([[0], np.cumsum(sizes[sizes > 0])[:-1]]).astype(np.int64)
-    minima = np.empty((PERMS, len(starts)), U)
     scratch = np.empty(len(members), U)
-    for p in range(PERMS):
+    for p in range(perms):
         np.multiply(members, _MULTIPLIERS[p], out=scratch)
-        minima[p] = np.minimum.reduceat(scratch, starts)
-    minima = mix(minima)
+        yield mix(np.minimum.reduceat(scratch, starts))
+
+
+def signatures(members: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The low bits of all minima, packed, for every set of at least one member."""
     per = 64 // BITS
-    packed = np.zeros((len(starts), PERMS // per), U)
-    for p in range(PERMS):
-        packed[:, p // per] |= (minima[p] & U((1 << BITS) - 1)) << U(BITS * (p % per))
-    bands = np.empty((len(starts), BANDS), U)
-    for b in range(BANDS):
-        total = np.full(len(starts), _BAND_SEEDS[b], U)
-        for r in range(ROWS):
-            total += minima[b * ROWS + r] * _PLACES[r]
-        bands[:, b] = mix(total)
-    return packed, bands
+    packed = np.zeros((int((sizes > 0).sum()), PERMS // per), U)
+    for p, least in enumerate(_minima(members, sizes, PERMS)):
+        packed[:, p // per] |= (least & U((1 << BITS) - 1)) << U(BITS * (p % per))
+    return packed
+
+
+def band_hashes(members: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each band of whole minima for every set of at least one member."""
+    out = np.tile(_BAND_SEEDS, (int((sizes > 0).sum()), 1))
+    for p, least in enumerate(_minima(members, sizes, BANDS * ROWS)):
+        out[:, p // ROWS] += least * _PLACES[p % ROWS]
+    return mix(out)
 
 
 def _lists(values: np.ndarray) -> pa.Array:
@@ -105,17 +110,15 @@ def features(docs: DataFrame, words: int) -> DataFrame:
                 members, sizes = shingle_sets(texts_of(part), words)
                 full = sizes > 0
                 keys = np.zeros((2, len(sizes)), U)
-                lists = [pa.nulls(len(sizes), pa.list_(pa.int64()))] * 2
+                bands = pa.nulls(len(sizes), pa.list_(pa.int64()))
                 if full.any():
                     starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]]).astype(np.int64)
                     keys[0, full] = np.add.reduceat(members, starts)
                     keys[1, full] = np.bitwise_xor.reduceat(members * _PLACES[9], starts)
-                    at = np.where(full, np.cumsum(full) - 1, 0)
-                    take = pa.array(at, mask=~full)
-                    lists = [_lists(x).take(take) for x in signatures(members, sizes)]
+                    bands = _lists(band_hashes(members, sizes)).take(pa.array(np.cumsum(full) - 1, mask=~full))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes), *(pa.array(k.view(np.int64)) for k in keys), *lists],
-                    ["doc_id", "n_shingles", "key1", "key2", "signature", "bands"],
+                    [part.column("doc_id"), pa.array(sizes), *(pa.array(k.view(np.int64)) for k in keys), bands],
+                    ["doc_id", "n_shingles", "key1", "key2", "bands"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FEATURES)
@@ -144,8 +147,12 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             batch = batch.filter(pa.array(hit)).select(["id", "text"])
             for part in slices(batch):
                 members, sizes = shingle_sets(texts_of(part), words)
+                if not sizes.all():  # a false hit without words
+                    part, sizes = part.filter(pa.array(sizes > 0)), sizes[sizes > 0]
+                if not len(sizes):
+                    continue
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(members.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists, _lists(signatures(members, sizes))], ["id", "shingles", "signature"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).where("id is not null")
     for k in (1, 2):
@@ -156,15 +163,16 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 def estimate(left: str, right: str) -> Column:
     """Similarity from two packed signatures: a slot differs if any of its bits does; equal
     slots by chance (one in 2**BITS) are corrected for."""
-    lanes, one = PERMS * BITS // 64, f"{int('1' * 16, 16)}L"
+    one = sum(1 << i for i in range(0, 64, BITS))
+    keep = f" & {one - (one >> 63 << 64)}L" if BITS > 1 else ""
     differing = []
-    for i in range(lanes):
+    for i in range(PERMS * BITS // 64):
         x = f"({left}[{i}] ^ {right}[{i}])"
-        y = f"({x} | shiftrightunsigned({x}, 2))"
-        differing.append(f"bit_count(({y} | shiftrightunsigned({y}, 1)) & {one})")
-    match = f"(1 - ({' + '.join(differing)}) / {PERMS}D)"
+        for shift in (n for n in (4, 2, 1) if n < BITS):
+            x = f"({x} | shiftrightunsigned({x}, {shift}))"
+        differing.append(f"bit_count({x}{keep})")
     chance = 1 / (1 << BITS)
-    return F.expr(f"({match} - {chance}D) / {1 - chance}D")
+    return F.expr(f"((1 - ({' + '.join(differing)}) / {PERMS}D) - {chance}D) / {1 - chance}D")
 
 
 def _slack(percent: int) -> float:
@@ -195,38 +203,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = cut(
         rows.where("n_shingles > 0 and doc_id is not null")
         .groupBy("key1", "key2", "n_shingles")
-        .agg(F.min("doc_id").alias("id"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"))
     )
     bands = classes.select("id", F.explode("bands").alias("bucket"))
     heads = bands.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
     members = cut(bands.join(heads, "bucket"))
-    signed = classes.select("id", "n_shingles", "signature")
-    floor = percent / 100 - _slack(percent)
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that sizes and signatures leave possible, with their estimate."""
-        for side in "ab":
-            pairs = pairs.join(signed.select(F.col("id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"sig_{side}")), side)
-        sizes = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-        return pairs.where(sizes).withColumn("near", estimate("sig_a", "sig_b")).where(F.col("near") >= floor).select("a", "b", "near")
-
-    stars = members.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    best = scored(stars).groupBy("a").agg(F.max(F.struct("near", "b")).alias("top")).select("a", "top.b")
     sets = cut(sets_of(docs, members.select("id").distinct(), words))
+    signed = sets.select("id", F.size("shingles").alias("n"), "signature")
+
+    def side(name: str) -> DataFrame:
+        return signed.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("signature").alias(f"sig_{name}"))
+
+    possible = (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")) & (estimate("sig_a", "sig_b") >= percent / 100 - _slack(percent))
+    stars = members.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b").where(possible)
+    best = stars.groupBy("a").agg(F.max(F.struct(estimate("sig_a", "sig_b").alias("near"), "b")).alias("top")).select("a", "top.b")
     first = cut(_confirm(best, sets, percent))
     known = connected_components(first)
 
     labelled = members.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     owner = labelled.where("id = head").select("bucket", F.col("component").alias("owner"))
     labelled = cut(labelled.join(owner, "bucket").select("bucket", "id", "component", "owner"))
-    odd = labelled.where("component <> owner").select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"))
-    rest = labelled.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"), "owner")
-    pairs = odd.join(rest, "bucket").where("ca <> cb and (cb = owner or a < b)").select("a", "b").distinct()
-    second = cut(_confirm(scored(pairs), sets, percent))
+    odd = labelled.where("component <> owner").select("bucket", F.col("id").alias("a"), F.col("component").alias("c_a"))
+    rest = labelled.join(odd.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("id").alias("b"), F.col("component").alias("c_b"), "owner")
+    met = [F.col("x.bucket") == F.col("y.bucket"), F.expr("c_a <> c_b and (c_b = owner or a < b)"), possible]
+    pairs = odd.join(side("a"), "a").alias("x").join(rest.join(side("b"), "b").alias("y"), met).select("a", "b").distinct()
+    second = cut(_confirm(pairs, sets, percent))
     groups = connected_components(first.union(second))
-    release(members)
-    release(sets)
-    release(labelled)
+    for done in (members, sets, labelled):
+        release(done)
 
     of_class = classes.select("key1", "key2", "n_shingles", "id").join(groups, "id", "left").select("key1", "key2", "n_shingles", F.coalesce("component", "id").alias("component"))
     out = rows.select("doc_id", "n_shingles", "key1", "key2").join(of_class, ["key1", "key2", "n_shingles"], "left")
