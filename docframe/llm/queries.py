@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docframe.llm.common import table
+from docframe.llm.language import identify
 from docframe.llm.media import media_features
 from docframe.llm.minhash import near_duplicates
 from docframe.llm.packing import pack
@@ -29,11 +30,16 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_media": op2_media,
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
+    "op5_language": op5_language,
 }
 
 SQL: dict[str, str] = {}
