@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docframe.llm import lines
 from docframe.llm.common import table
 from docframe.llm.language import identify
 from docframe.llm.media import media_features
 from docframe.llm.minhash import near_duplicates
+from docframe.llm.mixing import mix
 from docframe.llm.packing import pack
 from docframe.llm.secrets import span_digests
 
@@ -34,12 +36,24 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_media": op2_media,
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
     "op5_language": op5_language,
+    "op8_mixing": op8_mixing,
+    "op9_lines": op9_lines,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_lines": lines.SQL,
+}
