@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docframe.llm import lines
+from docframe.llm import hmm, lines
 from docframe.llm.common import table
 from docframe.llm.language import identify
 from docframe.llm.media import media_features
@@ -44,6 +44,10 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_media": op2_media,
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op8_mixing": op8_mixing,
     "op9_lines": op9_lines,
+    "op10_hmm": op10_hmm,
 }
 
 SQL: dict[str, str] = {
