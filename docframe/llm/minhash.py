@@ -27,7 +27,7 @@ from docframe.llm.common import U, mix, slices, texts_of, word_hashes
 from docframe.llm.components import connected_components
 from docframe.session import cut, release
 
-PERMS, BITS, BANDS, ROWS = 1024, 1, 25, 5
+PERMS, BITS, BANDS, ROWS = 2048, 1, 25, 5
 #: Standard deviations by which an estimate may fall short before a candidate is dropped.
 MARGIN = 4.5
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -38,7 +38,7 @@ _BAND_SEEDS = _rng.integers(1, 1 << 63, BANDS, dtype=np.uint64)
 FILTER_BITS = 1 << 23
 
 FEATURES = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"
-SETS = "id long, shingles array<long>, signature array<long>"
+SETS = "id long, shingles array<long>, signature array<long>, bands array<long>"
 
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +152,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 if not len(sizes):
                     continue
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(members.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), lists, _lists(signatures(members, sizes))], ["id", "shingles", "signature"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists, _lists(signatures(members, sizes)), _lists(band_hashes(members, sizes))], ["id", "shingles", "signature", "bands"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).where("id is not null")
     for k in (1, 2):
@@ -209,10 +209,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     heads = bands.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
     members = cut(bands.join(heads, "bucket"))
     sets = cut(sets_of(docs, members.select("id").distinct(), words))
-    signed = sets.select("id", F.size("shingles").alias("n"), "signature")
-
+    
     def side(name: str) -> DataFrame:
-        return signed.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("signature").alias(f"sig_{name}"))
+        return sets.select(F.col("id").alias(name), F.size("shingles").alias(f"n_{name}"), F.col("signature").alias(f"sig_{name}"), F.col("bands").alias(f"bands_{name}"))
 
     possible = (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")) & (estimate("sig_a", "sig_b") >= percent / 100 - _slack(percent))
     stars = members.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b").where(possible)
@@ -225,7 +224,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     labelled = cut(labelled.join(owner, "bucket").select("bucket", "id", "component", "owner"))
     odd = labelled.where("component <> owner").select("bucket", F.col("id").alias("a"), F.col("component").alias("c_a"))
     rest = labelled.join(odd.select("bucket").distinct(), "bucket", "left_semi").select("bucket", F.col("id").alias("b"), F.col("component").alias("c_b"), "owner")
-    met = [F.col("x.bucket") == F.col("y.bucket"), F.expr("c_a <> c_b and (c_b = owner or a < b)"), possible]
+    # a pair counts in the first bucket that both are in, so it is made once
+    new = F.expr("element_at(filter(bands_a, x -> array_contains(bands_b, x)), 1) = x.bucket and c_a <> c_b and (c_b = owner or a < b)")
+    met = [F.col("x.bucket") == F.col("y.bucket"), possible, new]
     pairs = odd.join(side("a"), "a").alias("x").join(rest.join(side("b"), "b").alias("y"), met).select("a", "b").distinct()
     second = cut(_confirm(pairs, sets, percent))
     groups = connected_components(first.union(second))
