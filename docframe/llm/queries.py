@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docframe.llm import hmm, lines
 from docframe.llm.common import table
+from docframe.llm.iblt import fingerprints
 from docframe.llm.language import identify
 from docframe.llm.media import media_features
 from docframe.llm.minhash import near_duplicates
@@ -36,6 +37,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op7_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
     "op5_language": op5_language,
+    "op7_iblt": op7_iblt,
     "op8_mixing": op8_mixing,
     "op9_lines": op9_lines,
     "op10_hmm": op10_hmm,
