@@ -14,6 +14,7 @@ from docframe.llm.media import media_features
 from docframe.llm.minhash import near_duplicates
 from docframe.llm.mixing import mix
 from docframe.llm.packing import pack
+from docframe.llm.quality import classify
 from docframe.llm.secrets import span_digests
 
 
@@ -37,6 +38,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
     "op5_language": op5_language,
+    "op6_quality": op6_quality,
     "op7_iblt": op7_iblt,
     "op8_mixing": op8_mixing,
     "op9_lines": op9_lines,
