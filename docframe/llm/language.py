@@ -24,7 +24,7 @@ from docframe.llm.folds import bounded_sample, held_out
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 2_000
 DICTIONARY_BYTES, BLOCK_CHARS = 32 << 10, 2_000
 #: A text is rejected if the runner-up needs less than this share of bytes more.
-MARGIN = 0.002
+MARGIN = 0.0005
 #: Bytes of advantage that make a language e times likelier, for the score.
 TEMPERATURE = 3.0
 
