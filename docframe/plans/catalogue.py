@@ -1,6 +1,8 @@
-"""Registered queries of the document engine and their SQL twins."""
+"""All registered queries of the document engine and their SQL twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from docframe.plans import catalogue_functions, catalogue_relations, catalogue_rows  # noqa: F401
+from docframe.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
