@@ -91,12 +91,19 @@ class Lexicon:
 
 
 def lexicon(words: DataFrame) -> Lexicon:
-    """From the vocabulary: sums, and its LISTED most frequent words (ties by hash)."""
+    """From the vocabulary: sums, and its most frequent words. A histogram of the counts' magnitudes, at most a few hundred rows,
+    gives the least count that LISTED words at most reach, so no more than those leave the executors."""
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = words.orderBy(F.desc("c"), "word").limit(LISTED).toPandas()
-    rank = np.arange(len(top))
-    own = np.where(rank < OWN - 1, rank + 1, -1)
-    own[top["word"].to_numpy() == END] = 0
+    size = F.floor(F.log2("c") * 16).cast("int")
+    hist = sorted(((r[0], r[1]) for r in words.groupBy(size).agg(F.count("*")).collect()), reverse=True)
+    reach = np.cumsum([n for _, n in hist])
+    least = hist[int((reach < LISTED).sum()) - 1][0] if len(hist) and reach[0] < LISTED else None
+    listed = (F.col("word") == int(END)) if least is None else (F.col("word") == int(END)) | (size >= least)
+    top = words.where(listed).toPandas().sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
+    other = top["word"].to_numpy() != END
+    rank = np.cumsum(other)
+    own = np.where(other & (rank < OWN), rank, -1)
+    own[~other] = 0
     norms = np.ones(SHAPES)
     sizes = words.groupBy("shape").agg(F.sum(F.col("c") + 1).alias("n")).toPandas()
     norms[sizes["shape"].to_numpy(int)] += sizes["n"].to_numpy(float)
