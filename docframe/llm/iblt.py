@@ -13,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.session import cut, release
+from docframe.session import cut
 
 WORDS, SIDE = 24, 8
 CELLS = 3 * SIDE
-#: Paragraphs of both versions that a sketch of a retry takes on average, and what a row may hold at most before its
-#: paragraphs are dealt to several rows.
-LOAD, LONG = 10, 512
+#: Paragraphs of both versions that a sketch of the first retry takes on average, and what a row may hold at most before
+#: its paragraphs are dealt to several rows.
+LOAD, LONG = 8, 192
 #: Rounds of peeling; each takes a digest at least, and few sketches of this size need half of them.
 ROUNDS = 12
 #: Documents of a range bucket on average, and buckets at most.
@@ -31,13 +31,16 @@ def paragraphs(text: str) -> str:
     return f"array_distinct(transform(regexp_extract_all({text}, '(?:[^ \\\\n]++ *+){{1,{WORDS}}}+', 0), x -> xxhash64(rtrim(x))))"
 
 
+def _in_cell(i: int) -> str:
+    return f"(shiftrightunsigned(e.c, {8 * (i // SIDE)}) & {SIDE - 1}) = {i % SIDE}"
+
+
 def sketch(digests: str, salt: str = "0") -> str:
     """SQL for the cells ``struct<n, k, c>`` of digests; the check hash also says the cell in each block."""
     keyed = f"transform({digests}, x -> named_struct('k', x, 'c', xxhash64(x, {salt})))"
-    mine = f"filter(es, e -> (shiftrightunsigned(e.c, 8 * (i div {SIDE})) & {SIDE - 1}) = i % {SIDE})"
     xor = lambda f: f"aggregate(mine, 0L, (a, e) -> a ^ e.{f})"
-    cell = f"transform(array({mine}), mine -> named_struct('n', size(mine), 'k', {xor('k')}, 'c', {xor('c')}))[0]"
-    return f"transform(array({keyed}), es -> transform(sequence(0, {CELLS - 1}), i -> {cell}))[0]"
+    cells = f"transform(array({', '.join(f'filter(es, e -> {_in_cell(i)})' for i in range(CELLS))}), mine -> named_struct('n', size(mine), 'k', {xor('k')}, 'c', {xor('c')}))"
+    return f"transform(array({keyed}), es -> {cells})[0]"
 
 
 def subtract(left: str, right: str) -> str:
@@ -48,12 +51,13 @@ def peel(cells: str, salt: str = "0") -> str:
     """SQL for the digests that two versions differ by, from their subtracted cells, as
     ``array<struct<n, k, c>>`` (n 1 for the left version's, -1 for the right's); null if some can't be recovered."""
     pure = f"array_distinct(filter(s.cells, x -> abs(x.n) = 1 and x.c = xxhash64(x.k, {salt})))"
-    here = f"filter(p, e -> (shiftrightunsigned(e.c, 8 * (i div {SIDE})) & {SIDE - 1}) = i % {SIDE})"
-    less = f"aggregate({here}, x, (a, e) -> named_struct('n', a.n - e.n, 'k', a.k ^ e.k, 'c', a.c ^ e.c))"
-    step = f"transform(array({pure}), p -> named_struct('cells', if(size(p) = 0, s.cells, transform(s.cells, (x, i) -> {less})), 'found', concat(s.found, p)))[0]"
-    start = f"named_struct('cells', {cells}, 'found', filter({cells}, x -> false))"
+    taken = ", ".join(f"filter(p, e -> {_in_cell(i)})" for i in range(CELLS))
+    less = "aggregate(es, x, (a, e) -> named_struct('n', a.n - e.n, 'k', a.k ^ e.k, 'c', a.c ^ e.c))"
+    left = f"zip_with(s.cells, array({taken}), (x, es) -> if(size(es) = 0, x, {less}))"
+    step = f"transform(array({pure}), p -> named_struct('cells', if(size(p) = 0, s.cells, {left}), 'found', concat(s.found, p), 'stuck', size(p) = 0))[0]"
+    start = f"named_struct('cells', {cells}, 'found', filter({cells}, x -> false), 'stuck', false)"
     rest = "exists(s.cells, x -> x.n <> 0 or x.k <> 0 or x.c <> 0)"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> if({rest}, {step}, s), s -> if({rest}, null, s.found))"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> if(s.stuck, s, {step}), s -> if({rest}, null, s.found))"
 
 
 def as_text(cells: str) -> str:
@@ -62,38 +66,34 @@ def as_text(cells: str) -> str:
     return f"replace(base64(unhex(array_join(transform({cells}, x -> {part}), ''))), '\\r\\n', '')"
 
 
-def differences(pairs: DataFrame) -> DataFrame:
-    """``pair, differing``: how many digests the versions of each pair of ``pairs`` (pair, a, b: distinct digests)
-    differ by, from peeled sketches alone. Attempt 0 takes one sketch a version; pairs that fail are
-    sketched again in as many sketches as their paragraphs need, twice as many with every attempt."""
-    left, done, attempt = pairs, None, 0
-    while True:
-        if attempt == 0:
-            work = left.select("pair", "a", "b")
-        else:
-            need = f"cast(greatest(1, ceil((size(a) + size(b)) / {LOAD})) * {2 ** (attempt - 1)} as int)"
-            sized = left.select("pair", "a", "b", F.expr(need).alias("need"))
-            short = sized.where(F.size("a") + F.size("b") <= LONG).withColumn("part", F.explode(F.expr("sequence(0, need - 1)")))
-            mine = lambda x: F.filter(x, lambda d: F.pmod(F.xxhash64(d, F.lit(-attempt)), F.col("need")) == F.col("part"))
-            short = short.select("pair", mine("a").alias("a"), mine("b").alias("b"))
-            long = sized.where(F.size("a") + F.size("b") > LONG)
-            both = long.select("pair", "need", F.explode("a").alias("d"), F.lit(True).alias("mine")).union(long.select("pair", "need", F.explode("b").alias("d"), F.lit(False)))
-            dealt = both.groupBy("pair", F.pmod(F.xxhash64("d", F.lit(-attempt)), F.col("need")).alias("part")).agg(
-                F.collect_list(F.when(F.col("mine"), F.col("d"))).alias("a"), F.collect_list(F.when(~F.col("mine"), F.col("d"))).alias("b")
-            )
-            work = short.union(dealt.select("pair", "a", "b"))
+def _split(left: DataFrame, attempt: int) -> DataFrame:
+    """The rows of ``left`` (pair, a, b), each dealt by hash to as many rows as its paragraphs need in this attempt."""
+    per = max(1, LOAD >> (attempt - 1))
+    sized = left.select("pair", "a", "b", F.expr(f"cast(greatest(2, ceil((size(a) + size(b)) / {per})) as int)").alias("need"))
+    spot = lambda d: F.pmod(F.xxhash64(d, F.lit(-attempt)), F.col("need"))
+    short = sized.where(F.size("a") + F.size("b") <= LONG).withColumn("part", F.explode(F.expr("sequence(0, need - 1)")))
+    mine = lambda x: F.filter(x, lambda d: spot(d) == F.col("part"))
+    short = short.select("pair", mine("a").alias("a"), mine("b").alias("b"))
+    long = sized.where(F.size("a") + F.size("b") > LONG)
+    both = long.select("pair", "need", F.explode("a").alias("d"), F.lit(True).alias("left")).union(long.select("pair", "need", F.explode("b").alias("d"), F.lit(False)))
+    dealt = both.groupBy("pair", spot(F.col("d")).alias("part")).agg(F.collect_list(F.when(F.col("left"), F.col("d"))).alias("a"), F.collect_list(F.when(~F.col("left"), F.col("d"))).alias("b"))
+    return short.union(dealt.select("pair", "a", "b"))
+
+
+def retried(left: DataFrame) -> DataFrame:
+    """``pair, differing`` for pairs (pair, a, b: distinct digests) that one sketch each can't tell. Their paragraphs are split
+    into parts with sketches of their own; parts that fail are split again, more finely each time."""
+    found, attempt = None, 1
+    while left.limit(1).count():
         cells = F.expr(subtract(sketch("a", str(attempt)), sketch("b", str(attempt))))
-        peeled = work.select("pair", cells.alias("cells")).select("pair", F.expr(f"size({peel('cells', str(attempt))})").alias("n"))
-        sums = cut(peeled.groupBy("pair").agg(F.sum("n").alias("differing"), F.max(F.col("n").isNull()).alias("failed")))
-        good = sums.where("not failed").select("pair", "differing")
-        done = good if done is None else done.union(good)
-        if not sums.where("failed").limit(1).count():
-            return done
-        before = left
-        left = cut(before.join(sums.where("failed").select("pair"), "pair", "left_semi"))
-        if attempt:
-            release(before)
-        attempt += 1
+        peeled = _split(left, attempt).select("pair", "a", "b", cells.alias("cells")).select("pair", "a", "b", F.expr(f"size({peel('cells', str(attempt))})").alias("n"))
+        out = cut(peeled.select("pair", "n", F.expr("if(n is null, a, null)").alias("a"), F.expr("if(n is null, b, null)").alias("b")))
+        good = out.where("n is not null").select("pair", "n")
+        found = good if found is None else found.union(good)
+        left, attempt = out.where("n is null").select("pair", "a", "b"), attempt + 1
+    if found is None:
+        return left.select("pair", F.lit(0).cast("long").alias("differing"))
+    return found.groupBy("pair").agg(F.sum("n").alias("differing"))
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
@@ -135,20 +135,25 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = _in_order(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), substring(next_text, 1, cast(n_chars div 2 as int)))")
     rows = rows.withColumn("edited", edited)
+    rows = rows.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        F.col("digests").alias("a"), F.expr(paragraphs("edited")).alias("e"), F.col("next_digests").alias("x"),
+    )
+    drawn = rows.select("*", *(F.expr(sketch(v)).alias(f"s_{v}") for v in "aex"))
+    first = drawn.select("*", *(F.expr(f"size({peel(subtract('s_a', f's_{v}'))})").alias(f"d_{v}") for v in "ex"))
     base = cut(
-        rows.select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-            F.col("digests").alias("a"), F.expr(paragraphs("edited")).alias("e"), F.col("next_digests").alias("x"),
+        first.select(
+            "row", "doc_id", "n_chars", "edited_sha256", F.expr(as_text("s_a")).alias("fingerprint"), F.expr(as_text("s_e")).alias("edited_fingerprint"),
+            *(F.size(v).alias(f"n_{v}") for v in "aex"), "d_e", "d_x",
+            F.expr("if(d_e is null or d_x is null, a, null)").alias("a"), F.expr("if(d_e is null, e, null)").alias("e"), F.expr("if(d_x is null, x, null)").alias("x"),
         )
     )
-    either = F.inline(F.expr("array(named_struct('pair', 2 * row, 'b', e), named_struct('pair', 2 * row + 1, 'b', x))"))
-    pairs = base.select("a", either)
-    found = differences(pairs).groupBy(F.expr("pair div 2").alias("row")).agg(
-        F.max(F.expr("if(pair % 2 = 0, differing, null)")).alias("d_e"), F.max(F.expr("if(pair % 2 = 1, differing, null)")).alias("d_x")
-    )
-    near = "coalesce(try_divide(cast(size(a) + size({0}) - d_{0} as double), size(a) + size({0}) + d_{0}), 1D)"
-    both = base.join(found, "row").selectExpr(
-        "doc_id", "n_chars", "edited_sha256", f"{as_text(sketch('a'))} as fingerprint", f"{as_text(sketch('e'))} as edited_fingerprint",
-        f"{near.format('e')} as near_edited", f"{near.format('x')} as near_next",
+    tried = base.where("d_e is null or d_x is null").select("row", "a", "d_e", "d_x", "e", "x")
+    pairs = tried.select("a", F.inline(F.expr("array(named_struct('pair', 2 * row, 'b', e, 'd', d_e), named_struct('pair', 2 * row + 1, 'b', x, 'd', d_x))")))
+    found = retried(pairs.where("d is null").select("pair", "a", "b")).groupBy(F.expr("pair div 2").alias("row")).agg(
+        F.max(F.expr("if(pair % 2 = 0, differing, null)")).alias("r_e"), F.max(F.expr("if(pair % 2 = 1, differing, null)")).alias("r_x")
     )
-    return both
+    near = "coalesce(try_divide(cast(n_a + n_{0} - coalesce(d_{0}, r_{0}) as double), n_a + n_{0} + coalesce(d_{0}, r_{0})), 1D)"
+    return base.join(found, "row", "left").selectExpr(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", f"{near.format('e')} as near_edited", f"{near.format('x')} as near_next"
+    )
