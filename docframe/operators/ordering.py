@@ -34,24 +34,21 @@ def _before(order: Sequence[Key], marks: Sequence[Column]) -> Column:
     return out
 
 
-def _boundary(df: DataFrame, order: Sequence[Key], p: Column) -> tuple[DataFrame, Column]:
-    """``df`` with the keys of the first row that fails ``p`` beside each row, and whether a row comes before it."""
+def _ahead(df: DataFrame, order: Sequence[Key], p: Column) -> Column:
+    """Whether a row comes before the first one that fails ``p``. That row's keys are a scalar sub-query, run once."""
     fails = ~F.coalesce(p, F.lit(False))
-    keys = [c.alias(f"__b{i}") for i, (c, _) in enumerate(order)]
-    first = df.where(fails).orderBy(*sort_columns(order)).limit(1).select(F.lit(1).alias("__one"), F.lit(True).alias("__found"), *keys)
-    joined = df.withColumn("__one", F.lit(1)).join(F.broadcast(first), "__one", "left")
-    return joined, F.col("__found").isNull() | _before(order, [F.col(f"__b{i}") for i in range(len(order))])
+    keys = F.struct(*(c.alias(f"k{i}") for i, (c, _) in enumerate(order)))
+    first = df.where(fails).orderBy(*sort_columns(order)).limit(1).select(keys).scalar()
+    return first.isNull() | _before(order, [first[f"k{i}"] for i in range(len(order))])
 
 
 def take_while(df: DataFrame, order: Sequence[Key], p: Column) -> DataFrame:
     """Rows before the first one, in order, for which ``p`` isn't true."""
-    joined, ahead = _boundary(df, order, p)
-    return joined.where(ahead).select(*df.columns)
+    return df.where(_ahead(df, order, p))
 
 
 def skip_while(df: DataFrame, order: Sequence[Key], p: Column) -> DataFrame:
-    joined, ahead = _boundary(df, order, p)
-    return joined.where(~ahead).select(*df.columns)
+    return df.where(~_ahead(df, order, p))
 
 
 def take_while_by(df: DataFrame, owner: Sequence[Column], order: Sequence[Key], p: Column, skip: bool = False) -> DataFrame:

@@ -18,11 +18,10 @@ def intersect_in(a: DataFrame, key: Column, b: DataFrame, other: Column) -> Data
 
 def except_in(a: DataFrame, key: Column, b: DataFrame, other: Column) -> DataFrame:
     """Rows of ``a`` whose key isn't among the keys of ``b``. A null key of ``b`` leaves none, and a null key of ``a``
-    only stays if ``b`` has no rows. Joined by key, however large ``b`` is; one row of facts about it is broadcast."""
+    only stays if ``b`` has no rows. Joined by key, however large ``b`` is; two facts about it come from a scalar sub-query."""
     right = b.select(other.alias("__r"))
-    facts = right.agg(F.coalesce(F.bool_or(F.col("__r").isNull()), F.lit(False)).alias("__null"), F.count("*").alias("__n")).withColumn("__one", F.lit(1))
-    left = a.withColumn("__l", key).withColumn("__one", F.lit(1)).join(F.broadcast(facts), "__one")
-    left = left.where((F.col("__n") == 0) | (~F.col("__null") & F.col("__l").isNotNull()))
+    facts = right.select(F.struct(F.coalesce(F.bool_or(F.col("__r").isNull()), F.lit(False)).alias("has_null"), F.count("*").alias("n"))).scalar()
+    left = a.withColumn("__l", key).where((facts["n"] == 0) | (~facts["has_null"] & F.col("__l").isNotNull()))
     return left.join(right.distinct(), F.col("__l") == F.col("__r"), "left_anti").select(*a.columns)
 
 

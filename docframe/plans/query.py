@@ -148,10 +148,9 @@ class Query:
     def default_if_empty(self, **values: Any) -> Query:
         """One row of ``values`` (else nulls) if there is no row."""
         spark, schema = self.frame.sparkSession, self.frame.schema
-        row = spark.range(1).select(F.lit(1).alias("__one"), *(F.lit(values.get(f.name)).cast(f.dataType).alias(f"__d_{f.name}") for f in schema))
-        seen = self.frame.limit(1).select(F.lit(1).alias("__one"), F.lit(True).alias("__seen"))
-        lone = row.join(F.broadcast(seen), "__one", "left").where("__seen is null").select(*(F.col(f"__d_{c}").alias(c) for c in schema.names))
-        return self._with(self.frame.unionByName(lone))
+        row = spark.range(1).select(*(F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in schema))
+        seen = self.frame.limit(1).select(F.lit(True)).scalar()
+        return self._with(self.frame.unionByName(row.where(seen.isNull())))
 
     # -- elements, which run the query
 
