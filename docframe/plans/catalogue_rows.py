@@ -517,6 +517,32 @@ def group_join_expressions(t: Tables):
     return out.select("c_custkey", label=strings.concat(c("c_mktsegment"), "/", c("n")), kind=F.when(c("n") > 10, "busy").otherwise("calm"))
 
 
+@query(
+    """SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1) o
+       ON c_custkey = o_custkey AND o_orderstatus IN ('F', 'O') GROUP BY c_custkey"""
+)
+def group_join_distinct_by(t: Tables):
+    chain = t.customer.group_join(t.orders, "c_custkey", "o_custkey").chain().distinct_by("o_orderpriority")
+    return chain.select("o_orderstatus").intersect_by(["F", "O"]).count("n")
+
+
+@query(
+    """SELECT c_custkey, count(o_orderkey) FILTER (WHERE f = 0) AS n FROM customer LEFT JOIN (SELECT *, sum(CASE WHEN o_orderstatus <> 'P' THEN 0 ELSE 1 END)
+       OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS f FROM orders) ON c_custkey = o_custkey GROUP BY c_custkey"""
+)
+def group_join_take_while(t: Tables):
+    return t.customer.group_join(t.orders, "c_custkey", "o_custkey").chain().order_by("o_orderdate").take_while(c("o_orderstatus") != "P").count("n")
+
+
+@query(
+    """SELECT c_custkey, coalesce(string_agg(y || '=' || n, ',' ORDER BY y), '') AS years FROM customer LEFT JOIN (SELECT o_custkey, year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1, 2)
+       ON c_custkey = o_custkey GROUP BY c_custkey"""
+)
+def group_join_group_by(t: Tables):
+    out = t.customer.group_join(t.orders, "c_custkey", "o_custkey").chain().group_by(F.year("o_orderdate"), name="years", n=F.count("*"))
+    return out.withColumn("years", F.array_join(F.transform("years", lambda x: F.concat_ws("=", x["Key"].cast("string"), x["n"].cast("string"))), ","))
+
+
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def semi_any(t: Tables):
     return t.customer.where_exists(t.orders.where(c("o_orderstatus") == "P"), "c_custkey", "o_custkey").select("c_custkey")

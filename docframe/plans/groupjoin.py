@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 
 from docframe.plans.grouping import GroupChain
 from docframe.plans.query import Query
+from docframe.plans.relations import ManyChain
+
+
+class GroupJoinChain(ManyChain):
+    """A chain over joined groups: the operators of to-many chains, but a null predicate fails ``all``."""
+
+    def all(self, p: Column, name: str = "all", nulls_pass: bool = False) -> DataFrame:
+        return GroupChain.all(self, p, name, nulls_pass)
 
 
 @dataclass(frozen=True)
@@ -31,12 +39,12 @@ class GroupJoin:
         filled = [F.when(F.col("__rk").isNull(), F.lit(empty[n])).otherwise(F.col(n)).alias(n) if empty[n] is not None and not isinstance(empty[n], list) else F.col(n) for n in aggregates]
         return Query(both.select(*(outer or self.outer.frame.columns), *filled), self.outer.keys, self.outer.id)
 
-    def chain(self, prefix: str = "", capture: tuple[str, ...] = ()) -> GroupChain:
+    def chain(self, capture: tuple[str, ...] = ()) -> GroupJoinChain:
         """A query inside each outer row's group; terminals give outer rows' ids with the value. ``capture`` names outer columns
         that predicates may use, as ``outer_<name>``."""
         ids = self.outer.frame.select(F.col(self.outer.id).alias("__g_" + self.outer.id), self.outer_key.alias("__lk"), *(F.col(c).alias(f"outer_{c}") for c in capture))
         frame = ids.join(self.inner.frame.withColumn("__rk", self.inner_key), F.col("__lk") == F.col("__rk")).drop("__lk", "__rk")
-        return GroupChain(frame, (self.outer.id,), self.outer.frame.select(self.outer.id), self.inner.id)
+        return GroupJoinChain(frame, (self.outer.id,), self.outer.frame.select(self.outer.id), self.inner.id)
 
     def flatten(self) -> DataFrame:
         """One row for each pair, and one with nulls for an outer row without a group (a left join)."""

@@ -140,3 +140,12 @@ def test_types_and_refusals(spark, nums):
     assert [tuple(r)[0::2] for r in arrays.select_many("a").to_list()] == [(1, 1), (1, 2)]
     with pytest.raises(NotSupported):
         arrays.with_column("b", F.lit(b"x")).select_many("b")
+
+
+def test_explain_and_group_join_chain(spark, nums):
+    assert "Filter" in nums.where(c("k") == 1).explain()
+    other = Query(spark.createDataFrame([(10, 1), (11, 1), (12, 2)], "oid long, k int"), id="oid")
+    chain = nums.where(c("id") < 5).group_join(other, "k", "k").chain()
+    assert sorted((r.id, r.items) for r in chain.select("oid").union([11, 99]).collect()) == [(1, [10, 11, 99]), (2, [11, 99]), (3, [10, 11, 99]), (4, [12, 11, 99])]
+    assert sorted((r.id, r.a) for r in chain.all(F.when(c("oid") > 10, True), "a").collect()) == [(1, False), (2, True), (3, False), (4, True)]
+    assert sorted((r.id, r.xs) for r in chain.select("oid").default_if_empty(0, "xs").collect())[1] == (2, [0])
