@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Text bytes a Python worker handles at once; only a single longer document exceeds it.
-SLICE_BYTES = 2 << 20
+#: Text bytes a Python worker handles at once, and bytes of an Arrow batch; only a single longer document exceeds them.
+SLICE_BYTES, BATCH = 1 << 20, "4m"
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -28,6 +30,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _trim() -> None:
+    """Give freed memory back: workers outlive their task, and their memory adds to that of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of bounded bytes, so that neither side's memory depends on how long the
+    documents are. A limit that the session sets itself is kept."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in conf.getAll:
+        conf.set(key, BATCH)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return df.mapInArrow(task, schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, a bijection that spreads every input bit."""
     x = x ^ (x >> U(30))

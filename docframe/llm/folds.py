@@ -24,4 +24,4 @@ def bounded_sample(rows: DataFrame, by: str, each: int, key: str = "doc_id") ->
     chance = F.lit(0.0)
     for value, n in counts.items():
         chance = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, 1.1 * each / n))).otherwise(chance)
-    return rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < chance * (1 << 30))
+    return rows.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 60)) < chance * (1 << 60))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import _BYTE, SPACE, U, mix, slices, texts_of, word_hashes
+from docframe.llm.common import arrow_map, _BYTE, mix, slices, SPACE, texts_of, U, word_hashes
 from docframe.llm.folds import held_out
 from docframe.session import cut
 
@@ -32,7 +32,7 @@ PASSES, WARM_PASSES, WARM_DOCS, CHUNK = 3, 25, 400, 256
 SMOOTH = 0.02
 END = np.int64(0x5EED0E2D)
 #: Tokens that a worker counts, or runs forward and backward over, at once.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 ENCODED = (
     "doc_id long, rid long, held_out boolean, classes binary, n_tokens long, n_known long, base_part double, class_part double, rare array<struct<word: long, n: int>>"
@@ -74,7 +74,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(run, "word long, shape int, c long")
+    parts = arrow_map(docs.select(F.col("text").cast("string")), run, "word long, shape int, c long")
     return parts.groupBy("word").agg(F.any_value("shape").alias("shape"), F.sum("c").alias("c"))
 
 
@@ -149,7 +149,7 @@ def encode(docs: DataFrame, known: Lexicon) -> DataFrame:
                     ["doc_id", "rid", "held_out", "classes", "n_tokens", "n_known", "base_part", "class_part", "rare"],
                 )
 
-    return docs.select("doc_id", "rid", "held_out", "text").mapInArrow(run, ENCODED)
+    return arrow_map(docs.select("doc_id", "rid", "held_out", "text"), run, ENCODED)
 
 
 @dataclass
@@ -230,7 +230,7 @@ def train(encoded: DataFrame, states: int = STATES, passes: int = PASSES) -> Mod
     states * (classes + states + 1) sums reach the driver."""
     spark, texts = encoded.sparkSession, encoded.where("not held_out").select("classes")
     n = texts.count()
-    drawn = encoded.where("not held_out").where(F.pmod(F.xxhash64("doc_id", F.lit("start")), F.lit(1 << 30)) < (1 << 30) * min(1.0, WARM_DOCS / max(1, n)))
+    drawn = encoded.where("not held_out").where(F.pmod(F.xxhash64("doc_id", F.lit("start")), F.lit(1 << 60)) < (1 << 60) * min(1.0, WARM_DOCS / max(1, n)))
     sample = drawn.select("doc_id", F.substring("classes", 1, 2 * 1000).alias("classes")).orderBy("doc_id", "classes").collect()
     model = starting_point([np.frombuffer(r.classes, "<i2") for r in sample], states)
     cut_emit, cut_move = CLASSES * states, (CLASSES + states) * states
@@ -258,7 +258,7 @@ def train(encoded: DataFrame, states: int = STATES, passes: int = PASSES) -> Mod
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "value"])
 
         sums = np.zeros(cut_move + states)
-        found = texts.mapInArrow(run, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).toPandas()
+        found = arrow_map(texts, run, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).toPandas()
         sums[found["slot"].to_numpy()] = found["value"].to_numpy()
         model = maximised(sums[cut_move:], sums[cut_emit:cut_move].reshape(states, states), sums[:cut_emit].reshape(CLASSES, states))
         shared.unpersist()
@@ -310,7 +310,7 @@ def score(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*keep, pa.array(found)], [c for c in part.schema.names if c != "classes"] + ["states_score"])
 
     kept = "doc_id long, rid long, held_out boolean, n_tokens long, n_known long, base_part double, class_part double, states_score double"
-    scored = encoded.select("doc_id", "rid", "held_out", "classes", "n_tokens", "n_known", "base_part", "class_part").mapInArrow(run, kept)
+    scored = arrow_map(encoded.select("doc_id", "rid", "held_out", "classes", "n_tokens", "n_known", "base_part", "class_part"), run, kept)
     rare = encoded.select("rid", F.inline("rare"))
     rare = rare.join(words.select("word", "c"), "word", "left").groupBy("rid").agg(
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known")

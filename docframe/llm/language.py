@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import slices
+from docframe.llm.common import arrow_map, slices
 from docframe.llm.folds import bounded_sample, held_out
 
 #: Training documents of a language whose text is used, and how much of each.
@@ -116,7 +116,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [x.split()[0] for x in PREDICTIONS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PREDICTIONS)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PREDICTIONS)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -125,10 +125,9 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                yield part.filter(pa.array([not shared.value.predict(t)[3] for t in part.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([not shared.value.predict(t)[3] for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

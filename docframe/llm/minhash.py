@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import U, mix, slices, texts_of, word_hashes
+from docframe.llm.common import arrow_map, mix, slices, texts_of, U, word_hashes
 from docframe.llm.components import connected_components
 from docframe.session import cut, release
 
@@ -121,7 +121,7 @@ def features(docs: DataFrame, words: int) -> DataFrame:
                     ["doc_id", "n_shingles", "key1", "key2", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FEATURES)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, FEATURES)
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
@@ -157,7 +157,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).where("id is not null")
     for k in (1, 2):
         keyed = keyed.withColumn(f"h{k}", F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(FILTER_BITS)))
-    return keyed.mapInArrow(run, SETS).join(ids, "id", "left_semi")
+    return arrow_map(keyed, run, SETS).join(ids, "id", "left_semi")
 
 
 def estimate(left: str, right: str) -> Column:
@@ -237,3 +237,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     out = rows.select("doc_id", "n_shingles", "key1", "key2").join(of_class, ["key1", "key2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+#: DuckDB's words for near_duplicates over documents with three words and 0.85.
+SQL = r"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+listed AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END AS xs FROM word),
+shingle AS (SELECT DISTINCT doc_id, unnest(xs) AS x FROM listed),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingle a JOIN shingle b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * pair.n >= 85 * (p.n + q.n - pair.n)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM reach r JOIN both_ways l ON r.id = l.a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN size s USING (doc_id) JOIN (SELECT id, min(root) AS component_id FROM reach GROUP BY id) c ON c.id = d.doc_id
+"""

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import slices
+from docframe.llm.common import arrow_map, slices
 from docframe.session import cut
 
 CAPACITY = 2048
 #: Words whose ids a Python worker keeps; beyond, it forgets them all and starts again.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 #: Pieces of a length are ranked in buckets of about so many, each in one task.
 BUCKET = 20_000
 #: Plans of up to so many rows (40 bytes each) are broadcast.
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES + ", ids array<int>" * with_ids)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import SPACE, slices, texts_of, word_hashes
+from docframe.llm.common import arrow_map, slices, SPACE, texts_of, word_hashes
 from docframe.llm.folds import bounded_sample, held_out
 
 #: Labelled rows of each label value that are drawn for training.
@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
                 rows = pa.array(list(features(texts_of(part))), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), rows], ["doc_id", "label", "x"])
 
-    rows = texts.mapInArrow(run, "doc_id long, label int, x array<double>").toPandas().sort_values(["doc_id", "label"])
+    rows = arrow_map(texts, run, "doc_id long, label int, x array<double>").toPandas().sort_values(["doc_id", "label"])
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit(x, rows["label"].to_numpy(float))
 
@@ -220,7 +220,7 @@ def predict(docs: DataFrame, model: Additive) -> DataFrame:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value(features(texts_of(part))))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCORES)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCORES)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

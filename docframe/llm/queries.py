@@ -6,12 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docframe.llm import hmm, lines
+from docframe.llm import hmm, lines, minhash
 from docframe.llm.common import table
 from docframe.llm.iblt import fingerprints
 from docframe.llm.language import identify
 from docframe.llm.media import media_features
-from docframe.llm.minhash import near_duplicates
 from docframe.llm.mixing import mix
 from docframe.llm.packing import pack
 from docframe.llm.quality import classify
@@ -19,7 +18,7 @@ from docframe.llm.secrets import span_digests
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_minhash": minhash.SQL,
     "op9_lines": lines.SQL,
 }

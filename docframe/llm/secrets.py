@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import slices
+from docframe.llm.common import arrow_map, slices
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -189,7 +189,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
                 rows = [[dict(zip(names, s, strict=True)) for s in scan(t)] if t else [] for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SPANS)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SPANS)
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
@@ -205,7 +205,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
                 out.append(t)
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def span_digests(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 
-from docframe.llm.minhash import near_duplicates
+import duckdb
+
+from docframe.llm.minhash import SQL, near_duplicates
 
 
 def brute(rows, words, percent):
@@ -49,6 +51,15 @@ def test_matches_brute_force(spark):
         assert got == brute(rows, words, percent)
 
 
+def test_sql_twin_matches_brute_force():
+    rows = corpus(2)
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar)")
+    db.executemany("insert into documents values (?, ?)", rows)
+    want = brute(rows, 3, 85)
+    assert {r[0]: r[1:3] for r in db.execute(SQL).fetchall()} == want
+
+
 def test_hot_group_and_repeats(spark):
     r = random.Random(3)
     base = [f"t{r.randrange(300)}" for _ in range(120)]
