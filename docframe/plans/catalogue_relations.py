@@ -200,3 +200,38 @@ def hydrate_to_one(t: Tables):
 def hydrate_to_many(t: Tables):
     q = t.navigate.include(t.customer, "customer", "orders")
     return q.select("c_custkey", orders=F.array_join(F.transform("orders", lambda x: F.concat(x["o_orderkey"].cast("string"), x["o_orderstatus"])), ","))
+
+
+_PRI = "SELECT DISTINCT o_custkey AS k, o_orderpriority AS p FROM orders WHERE o_orderstatus = "
+
+
+@query(f"SELECT c_custkey, count(x.p) AS n FROM customer LEFT JOIN ({_PRI}'F' INTERSECT {_PRI}'O') x ON x.k = c_custkey GROUP BY c_custkey")
+def many_intersect_relation(t: Tables):
+    chain = lambda s: t.navigate.many(t.customer, "customer", "orders").where(c("o_orderstatus") == s).select("o_orderpriority")
+    return chain("F").intersect_with(chain("O")).distinct().count("n")
+
+
+@query(f"SELECT c_custkey, count(x.p) > 0 AS some FROM customer LEFT JOIN ({_PRI}'F' EXCEPT {_PRI}'O') x ON x.k = c_custkey GROUP BY c_custkey")
+def many_except_relation(t: Tables):
+    chain = lambda s: t.navigate.many(t.customer, "customer", "orders").where(c("o_orderstatus") == s).select("o_orderpriority")
+    return chain("F").except_with(chain("O")).any("some")
+
+
+@query(f"SELECT c_custkey, count(x.p) AS n FROM customer LEFT JOIN ({_PRI}'F' UNION {_PRI}'P') x ON x.k = c_custkey GROUP BY c_custkey")
+def many_union_relation(t: Tables):
+    chain = lambda s: t.navigate.many(t.customer, "customer", "orders").where(c("o_orderstatus") == s).select("o_orderpriority")
+    return chain("F").union_with(chain("P")).count("n")
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus IN ('F', 'P') GROUP BY c_custkey")
+def many_concat_relation(t: Tables):
+    chain = lambda s: t.navigate.many(t.customer, "customer", "orders").where(c("o_orderstatus") == s).select("o_orderpriority")
+    return chain("F").concat_with(chain("P")).count("n")
+
+
+@query("SELECT n_nationkey, r_name, count(c_custkey) AS n FROM nation LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2")
+def hydrate_nested(t: Tables):
+    q = t.navigate.include(t.customer, "customer", "c_nationkey.n_regionkey")
+    per = q.frame.groupBy(c("c_nationkey_value.n_nationkey").alias("k"), c("c_nationkey_value.n_regionkey_value.r_name").alias("r")).agg(F.count("*").alias("m"))
+    out = t.navigate.include(t.nation, "nation", "n_regionkey").frame.join(per, c("k") == c("n_nationkey"), "left")
+    return out.select("n_nationkey", F.coalesce("r", c("n_regionkey_value.r_name")).alias("r_name"), F.coalesce("m", F.lit(0)).alias("n"))

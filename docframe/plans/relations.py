@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.errors import InvalidOperation, NotSupported
-from docframe.operators import sets
+from docframe.operators import ordering, sets
 from docframe.plans.grouping import GroupChain
 from docframe.plans.query import Query, column
 
@@ -162,21 +162,25 @@ class Navigator:
         return query._with(frame)
 
     def include(self, query: Query, owner: str, *names: str, exclude: tuple[str, ...] = ()) -> Query:
-        """The owners with whole targets: a struct for each reference, a list by target id for each to-many relation."""
-        if set(names) & set(exclude):
-            raise NotSupported(f"both included and excluded: {set(names) & set(exclude)}")
-        if any(n.startswith(f"{e}.") for n in names for e in exclude):
-            raise NotSupported("a child of an excluded relation is included")
+        """The owners with whole targets: a struct for each reference (``<field>_value``), a list by target id for each to-many relation.
+        ``a.b`` includes relation b of the targets of a."""
+        clash = {(n, e) for n in names for e in exclude if n == e or n.startswith(f"{e}.")}
+        if clash:
+            raise NotSupported(f"included under what is excluded: {clash}")
         frame = query.frame
-        for name in names:
+        for name in dict.fromkeys(n.split(".")[0] for n in names):
+            inner = [n[len(name) + 1 :] for n in names if n.startswith(f"{name}.")]
             if (owner, name) in self.catalog.one:
                 rel = self.catalog.one[owner, name]
-                target = self.tables(rel.target)
+                target = self.include(Query(self.tables(rel.target), id=rel.target_key), rel.target, *inner).frame
                 whole = target.select(F.col(rel.target_key).alias("__key"), F.struct(*target.columns).alias(f"{name}_value"))
                 frame = frame.join(whole, F.col(name) == F.col("__key"), "left").drop("__key")
             else:
                 rel = self._relation(owner, name)
                 targets = self._targets(rel)
+                if inner:
+                    full = self.include(Query(self.tables(rel.target), id=rel.target_key), rel.target, *inner).frame
+                    targets = targets.select("__source", rel.target_key).join(full, rel.target_key)
                 row = F.struct(F.col(rel.target_key), *(F.col(c) for c in targets.columns if c not in ("__source", rel.target_key)))
                 lists = targets.groupBy("__source").agg(F.array_sort(F.collect_list(row)).alias(name))
                 frame = frame.join(lists, F.col(query.id) == F.col("__source"), "left").drop("__source")
@@ -210,10 +214,6 @@ class ManyChain(GroupChain):
         return self.min_by(key, name, x, True)
 
     def distinct_by(self, key: Column | str) -> ManyChain:
-        from dataclasses import replace
-
-        from docframe.operators import ordering
-
         return replace(self, frame=ordering.first_by(self.frame.withColumn("__k", column(key)), [*self._owner(), F.col("__k")], [(F.col(self.id), False)]))
 
     def count_by(self, key: Column | str, name: str = "counts") -> DataFrame:
@@ -254,6 +254,29 @@ class ManyChain(GroupChain):
         out = self.to_array(name)
         return out.withColumn(name, F.concat(name, self._values(values).cast(out.schema[name].dataType)))
 
+    # Set operations with another chain of the same owners, on projected values, null matching null.
+
+    def _against(self, other: ManyChain, how: str) -> ManyChain:
+        right = other.frame.select(*(F.col(f"__g_{n}").alias(f"__o_{n}") for n in self.names), other._v(None).alias("__r")).distinct()
+        on = [F.col(f"__g_{n}") == F.col(f"__o_{n}") for n in self.names] + [F.col("__v").eqNullSafe(F.col("__r"))]
+        frame = self.frame.withColumn("__v", self._v(None)).join(right, on, how)
+        return replace(self, frame=frame, value=F.col("__v"))
+
+    def intersect_with(self, other: ManyChain) -> ManyChain:
+        return self._against(other, "left_semi")
+
+    def except_with(self, other: ManyChain) -> ManyChain:
+        return self._against(other, "left_anti")
+
+    def concat_with(self, other: ManyChain) -> ManyChain:
+        """Values of both chains; only aggregating terminals follow, as their rows have no common id."""
+        values = lambda x: x.frame.select(*x._owner(), x._v(None).alias("__v"))
+        return replace(self, frame=values(self).unionByName(values(other)), value=F.col("__v"), id=None, keys=())
+
+    def union_with(self, other: ManyChain) -> ManyChain:
+        both = self.concat_with(other)
+        return replace(both, frame=both.frame.distinct())
+
     def reverse(self, *_):
         raise NotSupported("Reverse, Zip, Prepend, Append, SequenceEqual and Aggregate over a relation")
 

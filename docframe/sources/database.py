@@ -424,6 +424,22 @@ class Collection:
             target._write("update", rows.drop("__mark"), rows.where("__mark").drop("__mark"), marked.where("__mark").drop("__mark"))
         return n
 
+    def link_through(self, path: tuple[str, ...], condition: Column, name: str, *targets: Any, remove: bool = False) -> None:
+        """Add targets to (or remove them from; none given: clear) a to-many relation of the documents at the end of a path of references."""
+        owner = self.name
+        found = self.db.navigate.reference(self.query().where(condition), owner, *path).frame
+        for step in path:
+            rel = self.db.relations.one[owner, step]
+            owner = rel.target
+        many = self.db.navigate._relation(owner, name)
+        links = self.db.table(many.links)
+        ids = found.select(F.col("_".join(path) + f"_{rel.target_key}").alias(many.source_field)).dropna().distinct()
+        if targets:
+            ids = ids.withColumn(many.target_field, F.explode(F.array(*map(F.lit, targets)).cast("array<long>")))
+        on = [many.source_field, many.target_field] if targets else [many.source_field]
+        fresh = links.join(ids, on, "left_anti") if remove or not targets else links.unionByName(ids).distinct()
+        self.db._put(many.links, fresh.select(*links.columns))
+
     def insert_graph(self, item: dict) -> Any:
         """Insert a document with new documents in place of its references (dicts) and to-many targets (lists of dicts), those first."""
         flat, many = dict(item), {}

@@ -110,9 +110,18 @@ def test_policies(db):
     assert member.delete(shared) == 1 and db.table("TeamMembers").count() == 1
     team.set_links("Members", t2, [lead])
     assert [tuple(r) for r in db.table("TeamMembers").collect()] == [(t2, lead)]
+    db.relate(ToMany("Member", "Friends", "Member", "Id", "MemberFriends"))
+    friends = lambda: sorted(tuple(r) for r in db.table("MemberFriends").collect())
+    boss = team.get(t2).Lead
+    team.link_through(("Lead",), c("Id") == t2, "Friends", lead, boss)
+    assert friends() == [(boss, lead), (boss, boss)] or friends() == [(boss, boss), (boss, lead)]
+    team.link_through(("Lead",), c("Id") == t2, "Friends", boss, remove=True)
+    assert friends() == [(boss, lead)]
+    team.link_through(("Lead",), c("Id") == t2, "Friends")
+    assert friends() == []
     assert team.set_reference(c("Id") == t2, "Lead", None) == 1 and member.delete_many(c("Name") == "chief") == 1
     assert db.navigate.many(team.query(), "Team", "Members").count("n").first().n == 1
-    assert db.names() == ["Member", "Team", "TeamMembers"] and db.drop("Team") and not db.drop("Nope", missing_ok=True)
+    assert db.names() == ["Member", "MemberFriends", "Team", "TeamMembers"] and db.drop("Team") and not db.drop("Nope", missing_ok=True)
 
 
 def test_cascade_and_unlink(spark):
