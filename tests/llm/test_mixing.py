@@ -1,8 +1,10 @@
+import math
 import random
 from collections import defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docframe.llm import mixing as m
 
@@ -59,6 +61,51 @@ def test_takes_near_targets(spark, monkeypatch):
     assert key(got) == key(m.mix(docs.repartition(2, "text")).collect())
 
 
+def brute(rows, draws, seats, targets):
+    """The mix in plain Python, from each row's draw and the sources' seats."""
+    out = []
+    sizes = [len((t or "").encode().split()) for _, t, _ in rows]
+    for s in targets:
+        mine = [i for i, r in enumerate(rows) if r[2] == s]
+        n_shards = -(-len(mine) // max(m.SHARD_DOCS, math.isqrt(4 * len(mine))))
+        shards = defaultdict(list)
+        for i in mine:
+            shards[draws[i] % n_shards].append(i)
+        words = {k: sum(sizes[i] for i in v) for k, v in shards.items()}
+        total = sum(words.values())
+        quota = {k: math.floor(seats[s] * w / total + 0.5) if total else 0 for k, w in words.items()}
+        miss = seats[s] - sum(quota.values())
+        gain = sorted(words, key=lambda k: (-words[k] / (2 * quota[k] + 1), k))[: max(0, miss)]
+        lose = sorted((k for k in words if quota[k]), key=lambda k: (words[k] / (2 * quota[k] - 1), -k))[: max(0, -miss)]
+        for k in gain:
+            quota[k] += 1
+        for k in lose:
+            quota[k] -= 1
+        for k, v in shards.items():
+            left, w = min(quota[k] * m.BLOCK, 3 * words[k]), words[k]
+            passes, rest = (left // w, left % w) if w else (0, 0)
+            for i in sorted(v, key=lambda i: (draws[i], str(rows[i][0]), sizes[i])):
+                part = min(sizes[i], rest)
+                out.append((rows[i][0], sizes[i], passes * sizes[i] + part))
+                rest -= part
+    return sorted(out, key=str)
+
+
+def test_equals_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(m, "SHARD_DOCS", 60)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    draws = [r.d for r in docs.select(F.xxhash64(F.lit(m.SEED), "doc_id", "text").alias("d")).collect()]
+    totals = defaultdict(int)
+    for _, t, s in rows:
+        totals[s] += len((t or "").encode().split())
+    goal = m.targets(totals)
+    names = list(goal)
+    seats = dict(zip(names, m.apportion([goal[s] for s in names], round(sum(goal.values()) / m.BLOCK)), strict=True))
+    got = sorted(((r.doc_id, r.size, r.taken) for r in m.mix(docs.repartition(3)).collect()), key=str)
+    assert got == brute(rows, draws, seats, goal)
+
+
 def test_rows_and_empty(spark):
     rows = corpus()[:900]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
