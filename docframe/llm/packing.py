@@ -25,8 +25,9 @@ from docframe.llm.common import arrow_map, slices
 from docframe.session import cut
 
 CAPACITY = 2048
-#: Words whose ids a Python worker keeps; beyond, it forgets them all and starts again.
-CACHE_WORDS = 150_000
+#: Words whose ids a Python worker keeps in each of two generations: when the young one is full it becomes the old
+#: one, from which words that come again are taken over. And words that the library gets at once.
+CACHE_WORDS, TOGETHER = 200_000, 200
 #: Pieces of a length are ranked in buckets of about so many, each in one task.
 BUCKET = 20_000
 #: Plans of up to so many rows (40 bytes each) are broadcast.
@@ -53,21 +54,24 @@ class WordTokenizer:
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 5000):
-            some = words[at : at + 5000]
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, words: set[str]) -> None:
+        again = words & self.old.keys()
+        self.known.update((w, self.old[w]) for w in again)
+        fresh = list(words - again)
+        for at in range(0, len(fresh), TOGETHER):
+            some = fresh[at : at + TOGETHER]
             ids = self._encode(" ".join(some))
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(some) and (not len(ids) or ends[-1] == len(ids)):
-                raw = ids.tobytes()
-                at = 0
+                raw, start = ids.tobytes(), 0
                 for word, end in zip(some, (ends * 4).tolist(), strict=True):
-                    self.known[word] = raw[at:end]
-                    at = end
+                    self.known[word] = raw[start:end]
+                    start = end
             else:
                 for word in some:
                     self.known[word] = self._encode(word).tobytes()
@@ -75,11 +79,11 @@ class WordTokenizer:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.known, self.old = {}, self.known
         words = [_WORDS(t.lower()) if _PLAIN(t) else None for t in texts]
         fresh = set(chain.from_iterable(w for w in words if w)).difference(self.known)
         if fresh:
-            self.learn(list(fresh))
+            self.learn(fresh)
         get = self.known.__getitem__
         return [self._encode(t).tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
 
