@@ -49,7 +49,7 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     joined = np.zeros(len(hashes), U)
     n = len(hashes)
     for k in range(words):
-        joined[: n - k] += hashes[k:] * _PLACES[k]
+        joined[: max(0, n - k)] += hashes[k:] * _PLACES[k]
     joined = mix(joined)
     parts, sizes = [], np.zeros(len(texts), np.int64)
     for i, (end, count) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):

@@ -2,7 +2,7 @@ import random
 
 import duckdb
 
-from docframe.llm.minhash import SQL, near_duplicates
+from docframe.llm.minhash import SQL, near_duplicates, shingle_sets
 
 
 def brute(rows, words, percent):
@@ -80,3 +80,11 @@ def test_empty_and_null_ids(spark):
     assert near_duplicates(docs).count() == 0
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
     assert sorted(map(tuple, near_duplicates(docs).collect()), key=str) == sorted([(None, 2, None, True), (3, 2, 3, True)], key=str)
+
+
+def test_tables_of_fewer_words_than_a_shingle(spark):
+    for n in range(1, 5):
+        members, sizes = shingle_sets([" ".join("abcd"[:n]).encode()], 5)
+        assert len(members) == 1 and sizes.tolist() == [1]
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    assert [tuple(r) for r in near_duplicates(docs).collect()] == [(1, 1, 1, True)]
