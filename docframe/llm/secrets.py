@@ -3,8 +3,8 @@
 Each text starts a worklist of layers. A layer is scanned for secrets, then every encoding found
 in it gives a new layer: percent and backslash escapes are resolved over the whole
 layer with a position for each character; a base64 or hexadecimal run is decoded if it holds text
-or a known compressed stream, which is then inflated. A layer whose content was seen before
-is not entered again, so the list reaches a fixpoint. Spans of inner layers are mapped to the
+or a known compressed stream, which is then inflated. A layer whose content was seen before in
+the same place is not entered again, so the list reaches a fixpoint. Spans of inner layers are mapped to the
 code points of the original text that encode them.
 """
 
@@ -15,6 +15,7 @@ import binascii
 import bz2
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,41 +140,58 @@ def _wordy(run: str) -> bool:
     return run.isalpha() and (run[1:].islower() or run.isupper())
 
 
+def _layer(content: str) -> tuple[list, list, list]:
+    """What one layer holds, in its own positions: secrets, escape layers as (name, text, starts, ends), and
+    decoded runs as (via, text, start, end)."""
+    escaped = []
+    for name, mark, pattern, resolve in (("url", "%", URL, _url), ("unicode", "\\", UNICODE, _unicode)):
+        if mark in content and (got := _escapes(content, pattern, resolve)):
+            escaped.append((name, *got))
+    decoded = []
+    for name, pattern, decode in (("base64", BASE64, _base64), ("hex", HEXRUN, bytes.fromhex)):
+        for m in pattern.finditer(content):
+            if not _wordy(m.group()) and (data := decode(m.group())):
+                decoded += [(v, t, m.start(), m.end()) for v, t in _unwrap(data, name)]
+    return base_spans(content), escaped, decoded
+
+
 def scan(text: str) -> list[tuple[str, int, int, str, str]]:
     """All secrets as (kind, start, end, via, value), via being "" for the text itself and
-    otherwise the layers down to it; a span of equal kind and place counts once, the
-    outermost. Ordered by start, kind, end."""
-    found: dict[tuple[str, int, int], tuple[str, str]] = {}
-    layers, seen = [("", text, None)], {text}
+    otherwise the layers down to it; a value of equal kind and place counts once, the
+    outermost. A run that stands in several places has its secrets in each of them. Ordered
+    by start, kind, end."""
+    found: dict[tuple[str, int, int, str], str] = {}
+    known: dict[str, tuple[list, list, list]] = {}
+    layers, seen = deque([("", text, None)]), {(text, None)}
     while layers:
-        via, content, place = layers.pop(0)
+        via, content, place = layers.popleft()
+        if content not in known:
+            known[content] = _layer(content)
+        spans, escaped, decoded = known[content]
 
         def outer(start: int, end: int, place=place) -> tuple[int, int]:
             if place is None:
                 return start, end
             return (place[0], place[1]) if isinstance(place[0], int) else (int(place[0][start]), int(place[1][end - 1]))
 
-        for kind, start, end in base_spans(content):
-            found.setdefault((kind, *outer(start, end)), (via, content[start:end]))
+        for kind, start, end in spans:
+            found.setdefault((kind, *outer(start, end), content[start:end]), via)
         fresh: list[tuple[str, str, object]] = []
-        for name, mark, pattern, resolve in (("url", "%", URL, _url), ("unicode", "\\", UNICODE, _unicode)):
-            if mark in content and (got := _escapes(content, pattern, resolve)):
-                inner, starts, ends = got
-                if place is not None and isinstance(place[0], int):
-                    spot = place
-                else:
-                    spot = (starts, ends) if place is None else (place[0][starts], place[1][ends - 1])
-                fresh.append((f"{via}>{name}".lstrip(">"), inner, spot))
-        for name, pattern, decode in (("base64", BASE64, _base64), ("hex", HEXRUN, bytes.fromhex)):
-            for m in pattern.finditer(content):
-                if not _wordy(m.group()) and (data := decode(m.group())):
-                    fresh += [(v, t, outer(m.start(), m.end())) for v, t in _unwrap(data, f"{via}>{name}".lstrip(">"))]
+        for name, inner, starts, ends in escaped:
+            if place is not None and isinstance(place[0], int):
+                spot = place
+            else:
+                spot = (starts, ends) if place is None else (place[0][starts], place[1][ends - 1])
+            fresh.append((f"{via}>{name}".lstrip(">"), inner, spot))
+        fresh += [(f"{via}>{v}".lstrip(">"), t, outer(start, end)) for v, t, start, end in decoded]
         for layer in fresh:
-            if layer[1] not in seen:
-                seen.add(layer[1])
+            spot = layer[2]
+            key = layer[1], spot if isinstance(spot[0], int) else (spot[0].tobytes(), spot[1].tobytes())
+            if key not in seen:
+                seen.add(key)
                 layers.append(layer)
     order = sorted(found, key=lambda k: (k[1], KINDS.index(k[0]), k[2]))
-    return [(*k, *found[k]) for k in order]
+    return [(*k[:3], found[k], k[3]) for k in order]
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
@@ -192,6 +210,17 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SPANS)
 
 
+def _places(spans: list[tuple[str, int, int, str, str]]) -> list[tuple[int, int]]:
+    """The places of spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for _, start, end, *_ in spans:
+        if out and start < out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
+
+
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with the places of all secrets in ``text`` replaced; other columns stay."""
 
@@ -200,7 +229,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             at = batch.schema.get_field_index("text")
             out = []
             for t in batch.column(at).to_pylist():
-                for _, start, end, *_ in sorted(scan(t), key=lambda s: -s[2]) if t else []:
+                for start, end in reversed(_places(scan(t)) if t else []):
                     t = t[:start] + mark + t[end:]
                 out.append(t)
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
@@ -210,8 +239,8 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
 def span_digests(docs: DataFrame) -> DataFrame:
     """Per row: how many secrets of each kind the text itself has, the SHA-256 of their list, and
-    the list of all spans, decoded layers included."""
+    the list of all spans, decoded layers included; a place of several values of a kind is listed once."""
     as_text = lambda xs: F.concat_ws(",", F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     base = F.filter("spans", lambda s: s["via"] == "")
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}' and s.via = '')) as long)").alias(f"n_{k}") for k in KINDS]
-    return secret_spans(docs).select("doc_id", *counts, F.sha2(as_text(base).cast("binary"), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+    return secret_spans(docs).select("doc_id", *counts, F.sha2(as_text(base).cast("binary"), 256).alias("base_sha256"), F.array_join(F.array_distinct(F.split(as_text(F.col("spans")), ",")), ",").alias("spans"))

@@ -85,3 +85,14 @@ def test_columns_and_edge_rows(spark):
     clean = s.redact(docs).where("doc_id = 1").first()
     assert KEY not in clean.text and clean.kind == "x"
     assert s.span_digests(docs.limit(0)).count() == 0
+
+
+def test_repeated_runs_and_all_values_of_a_run():
+    code = base64.b64encode(b"token=secret99 and password: hunter22x").decode()
+    text = f"a {code} b {code} c"
+    places = [(2, 2 + len(code)), (5 + len(code), 5 + 2 * len(code))]
+    assert [(x[1:3], x[4]) for x in s.scan(text)] == [(p, v) for p in places for v in ("token=secret99", "password: hunter22x")]
+    assert s._places(s.scan(text)) == places
+    nested = base64.b64encode(code.encode()).decode()
+    assert [x[1:3] for x in s.scan(f"{nested} {code} {nested}")][::2] == [(0, len(nested)), (len(nested) + 1, len(nested) + 1 + len(code)), (len(nested) + len(code) + 2, 2 * len(nested) + len(code) + 2)]
+    assert s._places(s.scan(f"x token={KEY} y")) == [(2, 8 + len(KEY))]
