@@ -2,8 +2,8 @@
 
 Each text starts a worklist of layers. A layer is scanned for secrets, then every encoding found
 in it gives a new layer: percent and backslash escapes are resolved over the whole
-layer with a position for each character; a base64 or hexadecimal run is decoded if it holds text
-or a known compressed stream, which is then inflated. A layer whose content was seen before in
+layer with a position for each character; a base64 or hexadecimal run is decoded and, as a
+known compressed stream, inflated; whatever bytes come out are scanned. A layer whose content was seen before in
 the same place is not entered again, so the list reaches a fixpoint. Spans of inner layers are mapped to the
 code points of the original text that encode them.
 """
@@ -69,22 +69,32 @@ def inflate(data: bytes) -> tuple[str, bytes] | None:
     return None
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+def _views(data: bytes) -> list[str]:
+    """Decoded bytes as text: as UTF-8 in which invalid bytes stay as surrogates, by their byte order mark if any, and of
+    bytes with NULs as UTF-16 if they are that, or as what is left without the NULs; patterns are ASCII only."""
+    out = [data.decode("utf-8", "surrogateescape")]
+    if data[:4] in (b"\xff\xfe\0\0", b"\0\0\xfe\xff"):
+        out.append(data.decode("utf-32", "replace"))
+    elif data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        out.append(data.decode("utf-16", "replace"))
+    nulls = data.count(0)
+    if nulls:
+        if 8 * nulls >= len(data) and len(data) % 2 == 0:
+            try:
+                return [*out, data.decode("utf-16-le" if 2 * data[1::2].count(0) >= nulls else "utf-16-be")]
+            except UnicodeDecodeError:
+                pass
+        out.append(data.replace(b"\0", b"").decode("utf-8", "surrogateescape"))
+    return [x for x in out if x]
 
 
 def _unwrap(data: bytes, via: str) -> list[tuple[str, str]]:
-    """The text in decoded bytes, inflated as often as needed, as (via, text)."""
+    """The texts in decoded bytes, inflated as often as needed, as (via, text)."""
     seen = set()
     while (found := inflate(data)) and data not in seen:
         seen.add(data)
         via, data = f"{via}>{found[0]}", found[1]
-    text = _readable(data)
-    return [(via, text)] if text else []
+    return [(via, text) for text in _views(data)]
 
 
 def _escapes(text: str, pattern: re.Pattern, resolve) -> tuple[str, np.ndarray, np.ndarray] | None:
@@ -107,22 +117,24 @@ def _escapes(text: str, pattern: re.Pattern, resolve) -> tuple[str, np.ndarray,
     return "".join([*parts, text[at:]]), np.concatenate([*starts, plain]), np.concatenate([*ends, plain + 1])
 
 
-def _url(run: str) -> list[tuple[str, int]] | None:
-    try:
-        return [(c, 3 * len(c.encode())) for c in bytes.fromhex(run.replace("%", "")).decode()]
-    except UnicodeDecodeError:
-        return None
+def _bytes(data: bytes, width: int) -> list[tuple[str, int]]:
+    """Characters of escaped UTF-8 and how long their escapes are; an invalid byte is a character of its own."""
+    return [(c, width * len(c.encode("utf-8", "surrogateescape"))) for c in data.decode("utf-8", "surrogateescape")]
+
+
+def _url(run: str) -> list[tuple[str, int]]:
+    return _bytes(bytes.fromhex(run.replace("%", "")), 3)
 
 
 def _unicode(run: str) -> list[tuple[str, int]] | None:
     try:
         if run[:3] == "\\u{" or run[1] == "U":
             return [(chr(int(run[2:].strip("{}"), 16)), len(run))]
-        if run[1] == "x":
-            return [(c, 4 * len(c.encode())) for c in bytes.fromhex(run.replace("\\x", "")).decode()]
-        return [(c, 6 * (1 + (ord(c) > 0xFFFF))) for c in bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be")]
-    except (UnicodeDecodeError, ValueError, OverflowError):
+    except (ValueError, OverflowError):  # no code point
         return None
+    if run[1] == "x":
+        return _bytes(bytes.fromhex(run.replace("\\x", "")), 4)
+    return [(c, 6 * (1 + (ord(c) > 0xFFFF))) for c in bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be", "surrogatepass")]
 
 
 def _base64(run: str) -> bytes | None:

@@ -96,3 +96,23 @@ def test_repeated_runs_and_all_values_of_a_run():
     nested = base64.b64encode(code.encode()).decode()
     assert [x[1:3] for x in s.scan(f"{nested} {code} {nested}")][::2] == [(0, len(nested)), (len(nested) + 1, len(nested) + 1 + len(code)), (len(nested) + len(code) + 2, 2 * len(nested) + len(code) + 2)]
     assert s._places(s.scan(f"x token={KEY} y")) == [(2, 8 + len(KEY))]
+
+
+def test_layers_that_are_not_plain_text():
+    line = "token=secret99"
+    for data in (
+        f"été\u00a0\u202f\u3000\u200b\u00ad\f {line}".encode(),
+        f"\ufeff{line}".encode(),
+        b"\x00\x01\xff\xfe\x89header " + line.encode() + b"\x00",
+        line.encode("utf-16-le"),
+        line.encode("utf-16-be"),
+        line.encode("utf-16"),
+        line.encode("utf-32"),
+        b"\xff\xfe\x01" + line.encode(),
+        b"\x07" + line.encode("utf-16-le"),
+        "密".encode("utf-16-le") + f"é {line}".encode("utf-16-le"),
+    ):
+        for code, via in ((base64.b64encode(data).decode(), "base64"), (data.hex(), "hex"), (base64.b64encode(gzip.compress(data)).decode(), "base64>gzip")):
+            assert ("assign", 2, 2 + len(code), via, line) in s.scan(f"x {code}"), (data, via)
+    for text in ("%FF%74oken=secret99 %E9", "%FFtoken%3Dsecret99%E9", "\\xff\\x74oken=secret99", "\\ud800\\u0074oken=secret99", "%74oken=secret99 \\ud800"):
+        assert [x[4] for x in s.scan(text)] == [line], text
