@@ -3,7 +3,8 @@
 Each text starts a worklist of layers. A layer is scanned for secrets, then every encoding found
 in it gives a new layer: percent and backslash escapes are resolved over the whole
 layer with a position for each character; a base64 or hexadecimal run is decoded and, as a
-known compressed stream, inflated; whatever bytes come out are scanned. A layer whose content was seen before in
+known compressed stream, inflated, all members of it; whatever bytes come out are scanned, large layers in windows. Lines of a wrapped run
+are decoded one by one and joined. A layer whose content was seen before in
 the same place is not entered again, so the list reaches a fixpoint. Spans of inner layers are mapped to the
 code points of the original text that encode them.
 """
@@ -13,6 +14,9 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
+import io
+import itertools
 import re
 import zlib
 from collections import deque
@@ -36,8 +40,14 @@ URL = re.compile("(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 HEXRUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){8,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){8,}(?![0-9A-Za-z])")
-#: Bytes a compressed layer may inflate to; what is beyond is not a secret's carrier but a bomb.
-INFLATED = 64 << 20
+#: What parts the lines of a wrapped run, its last line if that is short, and what a whole line must not go on with.
+WRAP = re.compile(r"[ \t]*(?:\r\n?|\n)[ \t]*")
+LAST = re.compile(r"[ \t]*(?:\r\n?|\n)[ \t]*[A-Za-z0-9+/_-]{1,15}={0,2}(?![A-Za-z0-9+/_=-])")
+MORE = re.compile(r"[ \t]+[^\s]")
+#: Bytes that are inflated at once, and after which a layer is scanned in windows. A window ends at a byte that no pattern goes
+#: across; if its last TAIL bytes have none, the next window repeats them.
+CHUNK, WINDOW, TAIL = 1 << 20, 64 << 20, 32 << 20
+BREAK = re.compile(rb"(?s).*(?:[^A-Za-z0-9+/_.=%\\{}:\"'\s\x00-]|[A-Za-z0-9] (?=[A-Za-z0-9]))")
 
 SPANS = "doc_id long, spans array<struct<kind: string, start: long, end: long, via: string, value: string>>"
 
@@ -53,20 +63,89 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def inflate(data: bytes) -> tuple[str, bytes] | None:
-    """The name and content of a known compressed stream."""
+def stream_kind(head: bytes) -> str | None:
+    """The name of a known compressed stream that starts so."""
+    if head[:2] == b"\x1f\x8b":
+        return "gzip"
+    if head[:1] == b"\x78" and len(head) > 6 and (head[0] << 8 | head[1]) % 31 == 0:
+        return "zlib"
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return "zstd"
+    return "bz2" if head[:3] == b"BZh" else None
+
+
+class _Source(io.RawIOBase):
+    """Chunks as a file."""
+
+    def __init__(self, chunks: Iterator[bytes]) -> None:
+        self.chunks, self.rest = chunks, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        self.rest = self.rest or next(self.chunks, b"")
+        n = min(len(into), len(self.rest))
+        into[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
+
+
+def inflate(kind: str, chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of a compressed stream in chunks of bounded size, all its members or frames one after another; it
+    ends where the stream is damaged."""
+    source = io.BufferedReader(_Source(chunks), CHUNK)
     try:
-        if data[:2] == b"\x1f\x8b":
-            return "gzip", zlib.decompressobj(31).decompress(data, INFLATED)
-        if data[:1] == b"\x78" and len(data) > 6 and (data[0] << 8 | data[1]) % 31 == 0:
-            return "zlib", zlib.decompressobj().decompress(data, INFLATED)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            return "zstd", zstandard.ZstdDecompressor().decompressobj().decompress(data)[:INFLATED]
-        if data[:3] == b"BZh":
-            return "bz2", bz2.BZ2Decompressor().decompress(data, INFLATED)
+        if kind == "zstd":
+            reader = zstandard.ZstdDecompressor().stream_reader(source, read_across_frames=True)
+            while out := reader.read(CHUNK):
+                yield out
+            return
+        data = source.read1(CHUNK)
+        while stream_kind(data + source.peek(8)[:8]) == kind:
+            if kind == "bz2":
+                member = bz2.BZ2Decompressor()
+                while not member.eof:
+                    if member.needs_input and not data and not (data := source.read1(CHUNK)):
+                        return
+                    out, data = member.decompress(data, CHUNK), b""
+                    if out:
+                        yield out
+            else:
+                member = zlib.decompressobj(31 if kind == "gzip" else 15)
+                while not member.eof:
+                    if not data and not (data := source.read1(CHUNK)):
+                        yield member.flush()
+                        return
+                    out, data = member.decompress(data, CHUNK), member.unconsumed_tail
+                    if out:
+                        yield out
+            data = member.unused_data
+            while not (data := data.lstrip(b"\0") if kind == "gzip" else data):  # members may be padded
+                if not (data := source.read1(CHUNK)):
+                    return
     except (zlib.error, zstandard.ZstdError, OSError, EOFError, ValueError):
         pass
-    return None
+
+
+def windows(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """All bytes of ``chunks`` in windows of about WINDOW bytes, so that no match of less than TAIL bytes is lost."""
+    have, fresh = bytearray(), False
+    for chunk in chunks:
+        have += chunk
+        fresh = True
+        if len(have) >= WINDOW:
+            near, far = bytes(have[-4096:]), bytes(have[-TAIL:])
+            tail = near if BREAK.match(near) else far
+            if cut := BREAK.match(tail):
+                at = len(have) - len(tail) + cut.end()
+                yield bytes(have[:at])
+                del have[:at]
+                fresh = bool(have)
+            else:
+                yield bytes(have)
+                have, fresh = bytearray(far), False
+    if fresh:
+        yield bytes(have)
 
 
 def _views(data: bytes) -> list[str]:
@@ -88,13 +167,50 @@ def _views(data: bytes) -> list[str]:
     return [x for x in out if x]
 
 
-def _unwrap(data: bytes, via: str) -> list[tuple[str, str]]:
-    """The texts in decoded bytes, inflated as often as needed, as (via, text)."""
-    seen = set()
-    while (found := inflate(data)) and data not in seen:
-        seen.add(data)
-        via, data = f"{via}>{found[0]}", found[1]
-    return [(via, text) for text in _views(data)]
+def _unwrap(data: bytes, via: str) -> Iterator[tuple[str, str, bool]]:
+    """The texts in decoded bytes, inflated as often as needed, as (via, text, whether that is all of its layer rather
+    than a window)."""
+    head, chunks, seen = data, iter([data]), set()
+    while (kind := stream_kind(head)) and head not in seen:
+        seen.add(head)
+        inner, got = inflate(kind, chunks), b""
+        while len(got) < CHUNK and (more := next(inner, b"")):
+            got += more
+        if not got:  # no such stream after all
+            chunks = iter([head])
+            break
+        head, chunks, via = got, itertools.chain([got], inner), f"{via}>{kind}"
+    before, whole = None, True
+    for window in windows(chunks):
+        if before is not None:
+            whole = False
+            yield from ((via, text, False) for text in _views(before))
+        before = window
+    if before is not None:
+        yield from ((via, text, whole) for text in _views(before))
+
+
+def _runs(content: str, pattern: re.Pattern) -> Iterator[tuple[str, int, int]]:
+    """Every match as (run, start, end), and matches that are lines of one wrapped run joined as well."""
+    group: list[re.Match] = []
+
+    def joined() -> Iterator[tuple[str, int, int]]:
+        if group:
+            last = None if group[-1].group().endswith("=") else LAST.match(content, group[-1].end())
+            if last and MORE.match(content, last.end()):
+                last = None
+            if last or len(group) > 1:
+                end = last.end() if last else group[-1].end()
+                yield WRAP.sub("", content[group[0].start() : end]), group[0].start(), end
+
+    for m in pattern.finditer(content):
+        if not _wordy(m.group()):
+            yield m.group(), m.start(), m.end()
+        if group and (group[-1].group().endswith("=") or not WRAP.fullmatch(content, group[-1].end(), m.start()) or MORE.match(content, m.end())):
+            yield from joined()
+            group = []
+        group.append(m)
+    yield from joined()
 
 
 def _escapes(text: str, pattern: re.Pattern, resolve) -> tuple[str, np.ndarray, np.ndarray] | None:
@@ -139,14 +255,21 @@ def _unicode(run: str) -> list[tuple[str, int]] | None:
 
 def _base64(run: str) -> bytes | None:
     core = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(core) % 4 == 1:
-        return None
+    if len(core) % 4 == 1:  # a character that is no part of it
+        core = core[:-1]
     try:
         return base64.b64decode(core + "=" * (-len(core) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
 
 
+def _hex(run: str) -> bytes | None:
+    try:
+        return bytes.fromhex(run)
+    except ValueError:  # wrapped lines of which the last is something else
+        return None
+
+
 def _wordy(run: str) -> bool:
     """Whether a run is plain letters of at most one case change in front, hence a word rather than code."""
     return run.isalpha() and (run[1:].islower() or run.isupper())
@@ -154,16 +277,14 @@ def _wordy(run: str) -> bool:
 
 def _layer(content: str) -> tuple[list, list, list]:
     """What one layer holds, in its own positions: secrets, escape layers as (name, text, starts, ends), and
-    decoded runs as (via, text, start, end)."""
+    decoded runs as (name, bytes, start, end)."""
     escaped = []
     for name, mark, pattern, resolve in (("url", "%", URL, _url), ("unicode", "\\", UNICODE, _unicode)):
         if mark in content and (got := _escapes(content, pattern, resolve)):
             escaped.append((name, *got))
     decoded = []
-    for name, pattern, decode in (("base64", BASE64, _base64), ("hex", HEXRUN, bytes.fromhex)):
-        for m in pattern.finditer(content):
-            if not _wordy(m.group()) and (data := decode(m.group())):
-                decoded += [(v, t, m.start(), m.end()) for v, t in _unwrap(data, name)]
+    for name, pattern, decode in (("base64", BASE64, _base64), ("hex", HEXRUN, _hex)):
+        decoded += [(name, data, start, end) for run, start, end in _runs(content, pattern) if (data := decode(run))]
     return base_spans(content), escaped, decoded
 
 
@@ -174,34 +295,65 @@ def scan(text: str) -> list[tuple[str, int, int, str, str]]:
     by start, kind, end."""
     found: dict[tuple[str, int, int, str], str] = {}
     known: dict[str, tuple[list, list, list]] = {}
-    layers, seen = deque([("", text, None)]), {(text, None)}
-    while layers:
-        via, content, place = layers.popleft()
-        if content not in known:
-            known[content] = _layer(content)
-        spans, escaped, decoded = known[content]
-
-        def outer(start: int, end: int, place=place) -> tuple[int, int]:
-            if place is None:
-                return start, end
-            return (place[0], place[1]) if isinstance(place[0], int) else (int(place[0][start]), int(place[1][end - 1]))
-
-        for kind, start, end in spans:
-            found.setdefault((kind, *outer(start, end), content[start:end]), via)
-        fresh: list[tuple[str, str, object]] = []
-        for name, inner, starts, ends in escaped:
-            if place is not None and isinstance(place[0], int):
-                spot = place
-            else:
-                spot = (starts, ends) if place is None else (place[0][starts], place[1][ends - 1])
-            fresh.append((f"{via}>{name}".lstrip(">"), inner, spot))
-        fresh += [(f"{via}>{v}".lstrip(">"), t, outer(start, end)) for v, t, start, end in decoded]
-        for layer in fresh:
-            spot = layer[2]
-            key = layer[1], spot if isinstance(spot[0], int) else (spot[0].tobytes(), spot[1].tobytes())
-            if key not in seen:
-                seen.add(key)
-                layers.append(layer)
+    texts: dict[tuple[str, bytes], list[tuple[str, str, bool]]] = {}
+    seen = set()
+
+    def fresh(content: str, place) -> bool:
+        spot = place if place is None or isinstance(place[0], int) else (place[0].tobytes(), place[1].tobytes())
+        key = content if len(content) < CHUNK else hashlib.sha256(content.encode("utf-8", "surrogatepass")).digest(), spot
+        new = key not in seen
+        seen.add(key)
+        return new
+
+    def unwrapped(name: str, data: bytes) -> Iterator[tuple[str, str, bool]]:
+        if (name, data) in texts:
+            yield from texts[name, data]
+            return
+        kept, size = [], 0
+        for layer in _unwrap(data, name):
+            size += len(layer[1])
+            kept = [*kept, layer] if size < CHUNK else []
+            yield layer
+        if size < CHUNK:
+            texts[name, data] = kept
+
+    def walk(via: str, content: str, place) -> None:
+        layers = deque([(via, content, place)])
+        while layers:
+            via, content, place = layers.popleft()
+            got = known.get(content) if len(content) < CHUNK else None
+            if got is None:
+                got = _layer(content)
+                if len(content) < CHUNK:
+                    known[content] = got
+            spans, escaped, decoded = got
+
+            def outer(start: int, end: int, place=place) -> tuple[int, int]:
+                if place is None:
+                    return start, end
+                return (place[0], place[1]) if isinstance(place[0], int) else (int(place[0][start]), int(place[1][end - 1]))
+
+            for kind, start, end in spans:
+                found.setdefault((kind, *outer(start, end), content[start:end]), via)
+            for name, inner, starts, ends in escaped:
+                if place is not None and isinstance(place[0], int):
+                    spot = place
+                else:
+                    spot = (starts, ends) if place is None else (place[0][starts], place[1][ends - 1])
+                if fresh(inner, spot):
+                    layers.append((f"{via}>{name}".lstrip(">"), inner, spot))
+            for name, data, start, end in decoded:
+                spot = outer(start, end)
+                for v, inner, whole in unwrapped(name, data):
+                    if not fresh(inner, spot):
+                        continue
+                    if whole:
+                        layers.append((f"{via}>{v}".lstrip(">"), inner, spot))
+                    else:  # one window at a time
+                        walk(f"{via}>{v}".lstrip(">"), inner, spot)
+
+    fresh(text, None)
+    walk("", text, None)
     order = sorted(found, key=lambda k: (k[1], KINDS.index(k[0]), k[2]))
     return [(*k[:3], found[k], k[3]) for k in order]
 

@@ -1,4 +1,5 @@
 import base64
+import bz2
 import gzip
 import hashlib
 import random
@@ -116,3 +117,26 @@ def test_layers_that_are_not_plain_text():
             assert ("assign", 2, 2 + len(code), via, line) in s.scan(f"x {code}"), (data, via)
     for text in ("%FF%74oken=secret99 %E9", "%FFtoken%3Dsecret99%E9", "\\xff\\x74oken=secret99", "\\ud800\\u0074oken=secret99", "%74oken=secret99 \\ud800"):
         assert [x[4] for x in s.scan(text)] == [line], text
+
+
+def test_wrapped_runs_and_members(monkeypatch):
+    rng = random.Random(7)
+    noise = " ".join(f"{rng.random()}" for _ in range(60))
+    for pack in (lambda b: b, gzip.compress, zlib.compress, zstandard.compress, bz2.compress):
+        plain = f"{noise[:53]} token=secret99 {noise}".encode()
+        for data in (pack(plain), pack(noise.encode()) + pack(plain)):
+            code = base64.encodebytes(data).decode().rstrip("\n")
+            for sep in ("\n", "\r\n", "\n    "):
+                wrapped = code.replace("\n", sep)
+                assert (2, 2 + len(wrapped), "token=secret99") in [(x[1], x[2], x[4]) for x in s.scan(f"x {wrapped}\n\nplain words")]
+    dump = re.sub("(.{30})", r"\1\n", b"some text password=hunter2222 and".hex())
+    assert "password=hunter2222" in [x[4] for x in s.scan(dump)]
+    monkeypatch.setattr(s, "CHUNK", 1 << 10)
+    monkeypatch.setattr(s, "WINDOW", 1 << 12)
+    monkeypatch.setattr(s, "TAIL", 1 << 11)
+    for pack in (gzip.compress, zlib.compress, zstandard.compress, bz2.compress):
+        keys = [f"token=secret{i:05}" for i in range(3000)]
+        code = base64.b64encode(pack(pack(" é, ".join(keys).encode()))).decode()
+        assert [x[4] for x in s.scan(f"x {code}")] == keys
+    quoted = base64.b64encode(gzip.compress(("z" * 9000 + " " + LINE).encode())).decode()
+    assert [x[4] for x in s.scan(quoted)] == [LINE[:-1]]
