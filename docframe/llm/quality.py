@@ -152,11 +152,20 @@ def _tree2(grad: np.ndarray, hess: np.ndarray) -> tuple[np.ndarray, float]:
     return out, float(win[i, j] - _gain(g[-1, -1], h[-1, -1]))
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Additive:
-    """The model for rows ``x`` and labels ``y``; without rows of both labels, a constant."""
+def _edges(values: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Distinct inner quantiles; plain ones where all rows weigh the same."""
+    q = np.linspace(0, 1, BINS + 1)[1:-1]
+    if not len(values):
+        return np.zeros(0)
+    return np.unique(np.quantile(values, q) if (weight == weight[0]).all() else np.quantile(values, q, method="inverted_cdf", weights=weight))
+
+
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Additive:
+    """The model for rows ``x`` and labels ``y``, each standing for ``weight`` rows; without rows of both labels, a constant."""
     n = x.shape[1]
-    mean = (y.sum() + 0.5) / (len(y) + 1)
-    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.zeros(0) for f in range(n)]
+    weight = np.ones(len(y)) if weight is None else weight
+    mean = ((weight * y).sum() + 0.5) / (weight.sum() + 1)
+    edges = [_edges(x[:, f], weight) for f in range(n)]
     model = Additive(float(np.log(mean / (1 - mean))), edges, np.zeros((n, BINS)))
     if len(set(y.tolist())) < 2:
         return model
@@ -164,7 +173,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 
     def slopes() -> tuple[np.ndarray, np.ndarray]:
         p = 1 / (1 + np.exp(-logit))
-        return y - p, np.maximum(p * (1 - p), 1e-6)
+        return weight * (y - p), weight * np.maximum(p * (1 - p), 1e-6)
 
     for _ in range(ROUNDS):
         for f in range(n):
@@ -191,7 +200,8 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, remainder: int = 0) -> Additive:
     """A model of the labelled rows outside the held-out fold. About SAMPLE_ROWS ids of each label value are
-    drawn, so the ids that are broadcast and the features that reach the driver are bounded.
+    drawn, so the ids that are broadcast and the features that reach the driver are bounded; they count for all
+    rows of their label, so that a score means the same at every size.
     Null labels and ids don't count; of several labels of a document, each counts."""
     known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label"))
     known = known.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, remainder))
@@ -202,11 +212,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
         for batch in batches:
             for part in slices(batch):
                 rows = pa.array(list(features(texts_of(part))), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), rows], ["doc_id", "label", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), part.column("weight"), rows], ["doc_id", "label", "weight", "x"])
 
-    rows = arrow_map(texts, run, "doc_id long, label int, x array<double>").toPandas().sort_values(["doc_id", "label"])
+    rows = arrow_map(texts, run, "doc_id long, label int, weight double, x array<double>").toPandas().sort_values(["doc_id", "label"])
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, len(FEATURES)))
-    return fit(x, rows["label"].to_numpy(float))
+    return fit(x, rows["label"].to_numpy(float), rows["weight"].to_numpy(float))
 
 
 def predict(docs: DataFrame, model: Additive) -> DataFrame:

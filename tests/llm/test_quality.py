@@ -54,3 +54,15 @@ def test_held_out_accuracy_and_edges(spark):
     assert sum(held) / len(held) > 0.95
     assert q.classify(docs.limit(0), marks).count() == 0
     assert q.classify(docs, marks.limit(0)).where("score is null").count() == 0
+
+
+def test_scores_do_not_depend_on_the_sampled_ratio(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x, y = rng.uniform(size=(30_000, 3)), (rng.uniform(size=30_000) < 0.86).astype(float)
+    taken = (y == 0) | (rng.uniform(size=30_000) < 0.16)
+    part = q.fit(x[taken], y[taken], np.where(y[taken] == 1, 1 / 0.16, 1.0))
+    assert abs(part.base - q.fit(x, y).base) < 0.1 and abs(part(x).mean() - 0.86) < 0.02
+    monkeypatch.setattr(q, "SAMPLE_ROWS", 100)
+    labels = spark.range(3000).selectExpr("id as doc_id", "cast(id % 7 > 0 as int) as quality")
+    model = q.train(spark.range(3000).selectExpr("id as doc_id", "'same words in all' as text"), labels)
+    assert abs(model.base - np.log(6)) < 0.4
