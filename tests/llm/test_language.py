@@ -49,3 +49,18 @@ def test_predictions_ignore_labels_and_empty(spark):
     assert a == b
     assert lang.identify(docs.limit(0)).count() == 0
     assert lang.predict(docs, lang.LanguageModel({})).where("lang_pred <> 'und'").count() == 0
+
+
+def test_rejects_what_is_no_known_language():
+    rng = random.Random(6)
+    rows = corpus(200, seed=2)
+    model = lang.LanguageModel({name: " ".join(t for _, t, _, true in rows if true == name)[:30_000].encode() for name in WORDS})
+    rejected = lambda texts: sum(model.predict(t)[3] for t in texts) / len(texts)
+    made = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    assert rejected([made("abcdefghijklmnopqrstuvwxyz", 200) for _ in range(50)]) > 0.8
+    assert rejected([made("αβγδεζηθικλμνξοπρστυφχψω", 200) for _ in range(50)]) > 0.8
+    clean = {name: [t for _, t, _, true in corpus(200, seed=3) if true == name] for name in WORDS}
+    assert rejected([t for ts in clean.values() for t in ts]) == 0
+    mixed = [f"{a} {b}" for a, b in zip(clean["en"], clean["fr"], strict=False)]
+    margin = lambda texts: sum(model.predict(t)[2] for t in texts) / len(texts)
+    assert margin(mixed) < 0.7 * margin(clean["en"])
