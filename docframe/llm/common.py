@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes a Python worker handles at once, and bytes of an Arrow batch; only a single longer document exceeds them.
 SLICE_BYTES, BATCH = 1 << 20, "4m"
@@ -30,6 +31,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def place(docs: DataFrame, name: str) -> int:
+    """The place of column ``name``: the one spelled so, or else the first that differs in case only."""
+    columns = docs.columns
+    for wanted, names in ((name, columns), (name.lower(), [c.lower() for c in columns])):
+        if wanted in names:
+            return names.index(wanted)
+    raise KeyError(f"no column {name} among {', '.join(columns)}")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named c0, c1, ... by place: whatever they were called (the same but for
+    case, or like a name that an operator makes up), none is ambiguous."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
+def inputs(docs: DataFrame, **kinds: str) -> DataFrame:
+    """The columns that an operator reads, by name and type; whatever else ``docs`` holds is left out."""
+    return numbered(docs).select(*(F.col(f"c{place(docs, n)}").cast(kind).alias(n) for n, kind in kinds.items()))
+
+
 def _trim() -> None:
     """Give freed memory back: workers outlive their task, and their memory adds to that of later stages."""
     pa.default_memory_pool().release_unused()

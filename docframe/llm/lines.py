@@ -1,9 +1,11 @@
 """Boilerplate lines by how many pages of their host contain them.
 
 Lines are compared without surrounding spaces. A host's line is boilerplate if more than RATIO of
-the host's pages contain it, and MIN_PAGES at least; exact copies of a page count as one
-page, so that a page copied often isn't taken for boilerplate. Counts are aggregated before
-they are shuffled by line, so neither a frequent line nor a large host meets in one task.
+the host's pages contain it. Exact copies of a page count as one page: else a page copied
+often would be boilerplate itself, and all its copies would lose their whole text. For the same
+reason a line must be on LEAST pages: on a host of one page every line is on all pages.
+Counts are aggregated before they are shuffled by line, so neither a frequent line nor a large
+host meets in one task.
 """
 
 from __future__ import annotations
@@ -11,19 +13,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docframe.llm.common import inputs, numbered, place
 from docframe.session import cut
 
-RATIO, MIN_PAGES = 0.1, 5
+#: Lines repeated over a host fall off from 13 to 9 % of its pages for the most frequent one (sf0.1) to under 5 % for all others.
+RATIO, LEAST = 0.05, 2
 
 
-def _lines(text: str) -> Column:
-    return F.split(F.col(text), "\n")
+def _hashes(text: Column) -> Column:
+    """Hashes of a text's lines, in order."""
+    return F.transform(F.split(text, "\n"), lambda x: F.xxhash64(F.trim(x)))
 
 
-def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """``host, lines``: hashes of each host's boilerplate lines. A host has fewer of them than its pages
-    have lines on average, divided by ``ratio``. Pages without a host are one host."""
-    rows = pages.where(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.xxhash64(text).alias("page"), F.col(text).alias("text"))
+    have lines on average, divided by ``ratio``. Pages without a host are one host; null texts
+    are no pages, blank lines no lines. An empty table gives no rows."""
+    rows = inputs(pages, **{host: "string", text: "string"}).toDF("host", "text").where("text is not null").withColumn("page", F.xxhash64("text"))
     total = rows.groupBy("host").agg(F.count_distinct("page").alias("pages"))
     line = F.explode(F.array_distinct(F.transform(F.split("text", "\n"), F.trim))).alias("line")
     seen = rows.select("host", "page", line).where("line <> ''").select("host", "page", F.xxhash64("line").alias("line"))
@@ -32,21 +38,27 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", rati
     return often.groupBy(F.col("c.host").alias("host")).agg(F.collect_set("line").alias("lines"))
 
 
-def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = MIN_PAGES) -> DataFrame:
+def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """``pages`` with ``text`` less its host's boilerplate lines, and ``n_lines`` and ``n_dropped`` after
     all other columns (in place of columns of those names).
 
     A null text stays null with no lines; an empty text is one empty line and stays. Blank lines
     are never dropped. Repeated rows are one page and get a row each; an empty table gives no
-    rows. The lists are written first, so that their size decides between broadcast and shuffle."""
-    lists = cut(boilerplate(pages, host, text, ratio, least)).select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
-    joined = pages.join(lists, F.col(host).eqNullSafe(F.col("__host")), "left")
-    kept = F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__lines"), F.xxhash64(F.trim(x))))
-    fresh = F.when(F.col("__lines").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    counts = F.coalesce(F.size(_lines(text)), F.lit(0)).cast("long")
-    dropped = F.when(F.col("__lines").isNull() | F.col(text).isNull(), F.lit(0)).otherwise(F.size(_lines(text)) - F.size(kept)).cast("long")
-    columns = [fresh.alias(c) if c == text else F.col(c) for c in pages.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*columns, counts.alias("n_lines"), dropped.alias("n_dropped"))
+    rows. Other columns stay, whatever their names. The lists are written first, so that their size
+    decides between broadcast and shuffle. A page's lines meet the host's list once, as sets; what
+    they share is all that single lines are compared with."""
+    lists = cut(boilerplate(pages, host, text, ratio, least)).toDF("b_host", "b_lines")
+    flat, t = numbered(pages), F.col(f"c{place(pages, text)}").cast("string")
+    joined = flat.join(lists, F.col(f"c{place(pages, host)}").cast("string").eqNullSafe(F.col("b_host")), "left")
+    joined = joined.withColumn("b_mine", F.when(F.col("b_lines").isNotNull(), F.array_intersect(_hashes(t), F.col("b_lines"))))
+    found = F.coalesce(F.size("b_mine"), F.lit(0)) > 0
+    kept = F.filter(F.split(t, "\n"), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("b_mine"), F.xxhash64(F.trim(x))))
+    counts = F.coalesce(F.size(F.split(t, "\n")), F.lit(0)).cast("long")
+    dropped = F.when(found, F.size(F.split(t, "\n")) - F.size(kept)).otherwise(0).cast("long")
+    stay = [i for i, c in enumerate(pages.columns) if c not in ("n_lines", "n_dropped")]
+    fresh = {place(pages, text): F.when(found, F.array_join(kept, "\n")).otherwise(t)}
+    out = joined.select(*(fresh.get(i, F.col(f"c{i}")) for i in stay), counts, dropped)
+    return out.toDF(*(pages.columns[i] for i in stay), "n_lines", "n_dropped")
 
 
 #: DuckDB's words for line_dedup over documents, with the default ratio and pages.
@@ -57,7 +69,7 @@ line AS (SELECT DISTINCT source, text, trim(x) AS line FROM (SELECT source, text
 n AS (SELECT source, line, count(*) AS n FROM line WHERE line <> '' GROUP BY source, line),
 often AS (
   SELECT n.source, list(n.line) AS lines FROM n JOIN total ON n.source IS NOT DISTINCT FROM total.source
-  WHERE n.n >= {MIN_PAGES} AND n.n > {RATIO} * total.pages GROUP BY n.source),
+  WHERE n.n >= {LEAST} AND n.n > {RATIO} * total.pages GROUP BY n.source),
 cut AS (
   SELECT d.doc_id, d.source, d.text, string_split(d.text, chr(10)) AS xs, coalesce(o.lines, []) AS lines
   FROM documents d LEFT JOIN often o ON d.source IS NOT DISTINCT FROM o.source)

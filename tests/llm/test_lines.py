@@ -47,7 +47,7 @@ def test_matches_brute_force_and_sql(spark):
     out = m.line_dedup(docs)
     assert out.columns == ["doc_id", "text", "source", "extra", "n_lines", "n_dropped"]
     got = sorted((tuple(r) for r in out.select("doc_id", "source", "text", "n_lines", "n_dropped").collect()), key=str)
-    want = sorted(brute(rows, m.RATIO, m.MIN_PAGES), key=str)
+    want = sorted(brute(rows, m.RATIO, m.LEAST), key=str)
     assert got == want and sum(r[4] for r in want) > 40
     db = duckdb.connect()
     db.execute("create table documents (doc_id bigint, text varchar, source varchar)")
@@ -58,3 +58,12 @@ def test_matches_brute_force_and_sql(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert m.line_dedup(docs).count() == 0
+
+
+def test_few_pages_and_names(spark):
+    rows = [(1, "menu\nfirst", "small"), (2, "menu\nsecond", "small"), (3, "alone\ntext", "one"), (4, "alone\ntext", "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    odd = docs.selectExpr("*", "1 as Source", "2 as __host", "3 as __lines", "4 as b_host", "5 as c1", "6 as N_LINES", "'x' as TEXT")
+    out = m.line_dedup(odd)
+    assert out.columns == [*odd.columns, "n_lines", "n_dropped"]
+    assert sorted((r[0], r[1]) for r in out.collect()) == [(1, "first"), (2, "second"), (3, "alone\ntext"), (4, "alone\ntext")]
