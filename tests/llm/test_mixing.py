@@ -61,17 +61,21 @@ def test_takes_near_targets(spark, monkeypatch):
     assert key(got) == key(m.mix(docs.repartition(2, "text")).collect())
 
 
-def brute(rows, draws, seats, targets):
+def brute(rows, draws, seats, targets, block):
     """The mix in plain Python, from each row's draw and the sources' seats."""
     out = []
     sizes = [len((t or "").encode().split()) for _, t, _ in rows]
+    alike = defaultdict(list)
+    for i, r in enumerate(rows):
+        alike[r[0], draws[i], sizes[i], r[2]].append(i)
+    firsts = {v[0]: len(v) for v in alike.values()}
     for s in targets:
-        mine = [i for i, r in enumerate(rows) if r[2] == s]
+        mine = [i for i, r in enumerate(rows) if r[2] == s and i in firsts]
         n_shards = -(-len(mine) // max(m.SHARD_DOCS, math.isqrt(4 * len(mine))))
         shards = defaultdict(list)
         for i in mine:
             shards[draws[i] % n_shards].append(i)
-        words = {k: sum(sizes[i] for i in v) for k, v in shards.items()}
+        words = {k: sum(sizes[i] * firsts[i] for i in v) for k, v in shards.items()}
         total = sum(words.values())
         quota = {k: math.floor(seats[s] * w / total + 0.5) if total else 0 for k, w in words.items()}
         miss = seats[s] - sum(quota.values())
@@ -82,11 +86,13 @@ def brute(rows, draws, seats, targets):
         for k in lose:
             quota[k] -= 1
         for k, v in shards.items():
-            left, w = min(quota[k] * m.BLOCK, 3 * words[k]), words[k]
+            left, w = min(quota[k] * block, 3 * words[k]), words[k]
             passes, rest = (left // w, left % w) if w else (0, 0)
             for i in sorted(v, key=lambda i: (draws[i], str(rows[i][0]), sizes[i])):
-                part = min(sizes[i], rest)
-                out.append((rows[i][0], sizes[i], passes * sizes[i] + part))
+                n = firsts[i]
+                part = min(sizes[i] * n, rest)
+                whole = passes * sizes[i] * n + part
+                out += [(rows[i][0], sizes[i], whole // n + (j < whole % n)) for j in range(n)]
                 rest -= part
     return sorted(out, key=str)
 
@@ -100,10 +106,10 @@ def test_equals_plain_python(spark, monkeypatch):
     for _, t, s in rows:
         totals[s] += len((t or "").encode().split())
     goal = m.targets(totals)
-    names = list(goal)
-    seats = dict(zip(names, m.apportion([goal[s] for s in names], round(sum(goal.values()) / m.BLOCK)), strict=True))
+    names, block = list(goal), m.block_size(goal)
+    seats = dict(zip(names, m.apportion([goal[s] for s in names], round(sum(goal.values()) / block)), strict=True))
     got = sorted(((r.doc_id, r.size, r.taken) for r in m.mix(docs.repartition(3)).collect()), key=str)
-    assert got == brute(rows, draws, seats, goal)
+    assert got == brute(rows, draws, seats, goal, block)
 
 
 def test_rows_and_empty(spark):
@@ -117,3 +123,30 @@ def test_rows_and_empty(spark):
     assert m.mix(docs.limit(0)).count() == 0 and m.mix_rows(docs.limit(0)).count() == 0
     blank = spark.createDataFrame([(1, None, None), (2, "", "a")], docs.schema)
     assert [r.taken for r in m.mix(blank).collect()] == [0, 0]
+
+
+def test_small_sources_and_tables(spark):
+    kind = "doc_id long, text string, source string"
+    text = lambda n: " ".join(["w"] * n)
+    rows = [(i, text(500), "b") for i in range(20)] + [(100, text(6), "a"), (101, text(2), None)]
+    got = {}
+    for r in m.mix(spark.createDataFrame(rows, kind)).collect():
+        got[r.source_size] = (r.target, got.get(r.source_size, (0, 0))[1] + r.taken)
+    for size, (target, taken) in got.items():
+        assert abs(taken - target) <= max(1, 0.04 * target), size
+    few = spark.createDataFrame([(1, text(9), "a"), (2, text(9), "b"), (3, text(9), "c")], kind)
+    assert sum(r.taken for r in m.mix(few).collect()) == 27
+    two = spark.createDataFrame([(1, text(9), "a"), (2, text(8), "b")], kind)
+    assert {r.doc_id for r in m.mix_rows(two).collect()} == {1, 2}
+
+
+def test_rows_alike_and_names(spark, monkeypatch):
+    monkeypatch.setattr(m, "TOGETHER", 7)
+    rows = [(1, "a b c", "x", i) for i in range(50)] + [(1, "d e f g", "y", 0), (None, "h i", "x", 0), (None, "j", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    got = m.mix(docs).collect()
+    assert len(got) == len(rows) and sum(r.taken for r in got) == sum(len(r[1].split()) for r in rows)
+    assert len({r.taken for r in got if r["size"] == 3}) <= 2
+    odd = docs.toDF("doc_id", "text", "source", "Source").selectExpr("*", "1 as __id", "2 as __taken", "3 as size", "4 as draw", "5 as s_times", "6 as c0")
+    mixed = m.mix_rows(odd)
+    assert mixed.columns == odd.columns and {r[1] for r in mixed.collect()} >= {"a b c"}
