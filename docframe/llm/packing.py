@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import arrow_map, slices
+from docframe.llm.common import arrow_map, inputs, slices
 from docframe.session import cut
 
 CAPACITY = 2048
@@ -34,6 +34,8 @@ BUCKET = 20_000
 PLAN_ROWS = 100_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: A task's rows of one doc_id are told apart by up to so many numbers, so that they share no bucket.
+TWINS = 1 << 20
 
 #: Characters that are their own NFC form and on which Python's classes agree with the tokenizer's.
 _PLAIN = re.compile("[\\t\\n\\r -~¡-±´-¸º»¿-įı-ſ‐-‧…€]*").fullmatch
@@ -43,13 +45,15 @@ _END = struct.pack("<I", 0)
 
 class WordTokenizer:
     """The word-end BPE of a tokenizers file with a cache of whole words. Texts of plain
-    characters are split into words here; any other text goes to the library as it is."""
+    characters are split into words here; any other text, and one that spells out an added
+    token of the file (the library gives it that token's id), goes to the library as it is."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE).search
         vocab = self.model.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -80,7 +84,7 @@ class WordTokenizer:
         """Little-endian 32-bit ids of every text."""
         if len(self.known) > CACHE_WORDS:
             self.known, self.old = {}, self.known
-        words = [_WORDS(t.lower()) if _PLAIN(t) else None for t in texts]
+        words = [_WORDS(t.lower()) if _PLAIN(t) and not self.added(t) else None for t in texts]
         fresh = set(chain.from_iterable(w for w in words if w)).difference(self.known)
         if fresh:
             self.learn(fresh)
@@ -100,24 +104,27 @@ def default_tokenizer() -> str:
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """PIECES per row of ``docs`` (doc_id, text), with their ``ids`` if asked for. A text's ids
-    end with id 0, so a null or empty text is one piece of length 1."""
+    """PIECES and ``twin`` per row of ``docs`` (doc_id, text), with their ``ids`` if asked for. A text's ids
+    end with id 0, so a null or empty text is one piece of length 1. ``twin`` numbers the rows of
+    one doc_id within a task; it is 0 where ids are unique."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path or default_tokenizer())
+        encode, seen = tokenizer(path or default_tokenizer()), {}
         for batch in batches:
             for part in slices(batch):
                 rows = []
                 for doc, raw in zip(part.column("doc_id").to_pylist(), encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
                     raw += _END
+                    twin = seen[doc] = (seen.get(doc, -1) + 1) % TWINS
                     for i, at in enumerate(range(0, len(raw), 4 * capacity)):
                         one = raw[at : at + 4 * capacity]
-                        rows.append((doc, i, at // 4, len(one) // 4, zlib.crc32(one), np.frombuffer(one, "<u4").astype(np.int32) if with_ids else None))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))[: 5 + with_ids]
+                        rows.append((doc, i, at // 4, len(one) // 4, zlib.crc32(one), twin, np.frombuffer(one, "<u4").astype(np.int32) if with_ids else None))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()))[: 6 + with_ids]
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids)
+                names = [x.split()[0] for x in PIECES.split(", ")] + ["twin"] + ["ids"] * with_ids
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names)
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES + ", ids array<int>" * with_ids)
+    return arrow_map(inputs(docs, doc_id="long", text="string"), run, PIECES + ", twin int" + ", ids array<int>" * with_ids)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -163,13 +170,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def ranked(found: DataFrame, total: int) -> DataFrame:
-    """``found`` with each piece's ``rank`` (from 0) within its length. Ranks are counted in
+    """``found`` (a written table) with each piece's ``rank`` (from 0) within its length. Ranks are counted in
     buckets of a length, so that a length that most pieces have isn't one task."""
     buckets = max(1, -(-total // BUCKET))
-    keyed = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    keyed = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "twin"), F.lit(buckets)))
     sizes = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = sizes.selectExpr("length", "bucket", "sum(n) over (partition by length order by bucket rows between unbounded preceding and 1 preceding) as before")
-    row = F.expr("row_number() over (partition by length, bucket order by doc_id, piece, ids_crc32)")
+    row = F.expr("row_number() over (partition by length, bucket order by doc_id, piece, ids_crc32, twin)")
     return keyed.withColumn("row", row).join(before, ["length", "bucket"]).withColumn("rank", F.col("row") - 1 + F.coalesce("before", F.lit(0))).drop("row", "before", "bucket")
 
 
@@ -196,7 +203,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
 
 def sequences(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """``sequence_id, ids``: the packed sequences themselves. A sequence holds at most
-    ``capacity`` tokens, so no group is unbounded. Rows of one doc_id must have one text."""
+    ``capacity`` tokens, so no group is unbounded. Rows of one doc_id must have one text; null and
+    empty texts are an end each, an empty table gives no rows."""
     slots = pack(docs, path, capacity)
     ids = pieces(docs, path, capacity, with_ids=True).select("doc_id", "piece", "ids").dropDuplicates(["doc_id", "piece"])
     both = slots.join(ids, slots.doc_id.eqNullSafe(ids.doc_id) & (slots.piece == ids.piece)).select("sequence_id", "offset", "ids")

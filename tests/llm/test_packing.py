@@ -16,10 +16,15 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(p.default_tokenizer())
-    t.encode_special_tokens = True
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
+def test_texts_that_spell_added_tokens():
+    for text in ("hello <|endoftext|> world", "a<|EndOfText|>b", "x <|startoftext|>", "<|endoftext|", "é<|endoftext|>"):
+        assert np.frombuffer(p.tokenizer(p.default_tokenizer())([text])[0], "<u4").tolist() == reference()(text)
+    assert reference()("hello <|endoftext|> world") == [3306, 49407, 1002]
+
+
 TEXT = st.text(st.one_of(st.sampled_from("abcXYZ 's'tre_12.,!\n\t|%éÈßñç²½ \x1c\x85İΣσςﬁ—’…"), st.characters(exclude_categories=["Cs"])), max_size=60)
 
 
