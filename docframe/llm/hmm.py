@@ -21,18 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import arrow_map, _BYTE, mix, slices, SPACE, texts_of, U, word_hashes
+from docframe.llm.common import arrow_map, _BYTE, inputs, mix, slices, SPACE, texts_of, U, word_hashes
 from docframe.llm.folds import held_out
 from docframe.session import cut
 
 STATES, OWN, SHAPES, LISTED = 8, 2048, 2048, 1 << 18
 CLASSES = OWN + SHAPES
-#: Passes of Baum-Welch over all training texts, and over the sample that they start from.
-PASSES, WARM_PASSES, WARM_DOCS, CHUNK = 3, 25, 400, 256
+#: Passes of Baum-Welch over all training texts; passes over the sample that they start from, which is a stretch of up to
+#: WARM_TOKENS tokens, at a place drawn by hash, of each of about WARM_DOCS texts.
+PASSES, WARM_PASSES, WARM_DOCS, WARM_TOKENS = 3, 25, 400, 1_000
 SMOOTH = 0.02
 END = np.int64(0x5EED0E2D)
-#: Tokens that a worker counts, or runs forward and backward over, at once.
-FLUSH = 1_000_000
+#: Tokens that a worker counts, or runs forward and backward over, at once, and whose moves it sums at once.
+FLUSH, CHUNK = 1_000_000, 1 << 14
 
 ENCODED = (
     "doc_id long, rid long, held_out boolean, classes binary, n_tokens long, n_known long, base_part double, class_part double, rare array<struct<word: long, n: int>>"
@@ -55,7 +56,8 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """``word, shape, c``: counts of all tokens of ``docs`` (text)."""
+    """``word, shape, c``: counts of all tokens of ``docs`` (text). A null or empty text has one, its end; repeated
+    rows count each, an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -74,7 +76,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    parts = arrow_map(docs.select(F.col("text").cast("string")), run, "word long, shape int, c long")
+    parts = arrow_map(inputs(docs, text="string"), run, "word long, shape int, c long")
     return parts.groupBy("word").agg(F.any_value("shape").alias("shape"), F.sum("c").alias("c"))
 
 
@@ -159,48 +161,48 @@ class Model:
     emit: np.ndarray  #: (classes, states)
 
 
-def _chunks(sequences: list[np.ndarray]) -> list[tuple[np.ndarray, bool]]:
-    return [(s[i : i + CHUNK], i == 0) for s in sequences for i in range(0, len(s), CHUNK)]
-
-
 def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, moves and emissions, and the log-likelihood, of sequences cut into chunks, each
-    by forward and backward recursion; chunks run in lockstep, the longest first. A later
-    chunk of a sequence starts from the model's mean occupancy."""
+    """Expected starts, moves and emissions, and the log-likelihood, of whole sequences, by forward and backward
+    recursion in lockstep, the longest sequence first. Tokens are laid out step by step, so that
+    what doesn't depend on another step is done for all steps at once."""
     states = len(model.start)
-    chunks = sorted(_chunks(sequences), key=lambda c: -len(c[0]))
-    lengths = np.array([len(c) for c, _ in chunks])
+    ranked = sorted(sequences, key=lambda s: -len(s))
+    lengths = np.array([len(s) for s in ranked])
     steps = int(lengths[0])
     active = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right")
     offset = np.concatenate([[0], np.cumsum(active)])
-    flat = np.concatenate([c for c, _ in chunks]).astype(np.int64)
     begin = np.cumsum(lengths) - lengths
-    order = np.concatenate([begin[:n] + t for t, n in enumerate(active)])
-    symbols = flat[order]
+    step = np.repeat(np.arange(steps), active)
+    row = np.arange(offset[-1]) - offset[step]
+    symbols = np.concatenate(ranked)[begin[row] + step]
+    before = (offset[np.maximum(step - 1, 0)] + row)[active[0] :]  # of each token but first ones, the place of the token before it
+    del step, row
     emit, move = model.emit.astype(np.float32)[symbols], model.move.astype(np.float32)
-    alpha, scale = np.empty((len(symbols), states), np.float32), np.empty((len(symbols), 1), np.float32)
-    first = np.array([f for _, f in chunks])
-    steady = np.linalg.matrix_power(model.move, 64).mean(0)
-    now = np.where(first[:, None], model.start, steady).astype(np.float32)
+    alpha, scale = np.empty_like(emit), np.empty((len(symbols), 1), np.float32)
+    places = offset.tolist()
+    alpha[: places[1]] = model.start
     for t in range(steps):
-        a, b = offset[t], offset[t + 1]
+        a, b = places[t], places[t + 1]
+        now = alpha[a:b]
         if t:
-            now = now[: b - a] @ move
-        now = now * emit[a:b]
-        total = now.sum(1, keepdims=True)
+            np.dot(alpha[places[t - 1] : places[t - 1] + b - a], move, out=now)
+        now *= emit[a:b]
+        total = scale[a:b]
+        np.add.reduce(now, 1, out=total, keepdims=True)
         now /= total
-        alpha[a:b], scale[a:b] = now, total
-    gamma, moves = alpha.copy(), np.zeros((states, states))
-    later = np.ones((active[-1], states), np.float32)
+    emit /= scale
+    beta, turned = np.ones_like(emit), np.ascontiguousarray(move.T)
     for t in range(steps - 1, 0, -1):
-        a, b, c = offset[t - 1], offset[t], offset[t + 1]
-        back = emit[b:c] * later / scale[b:c]
-        moves += alpha[a : a + c - b].T @ back
-        later = np.ones((b - a, states), np.float32)
-        later[: c - b] = back @ move.T
-        gamma[a:b] *= later
-    counts = np.stack([np.bincount(symbols, gamma[:, k], len(model.emit)) for k in range(states)], 1)
-    return gamma[: active[0]][first].sum(0, dtype=float), moves * model.move, counts, float(np.log(scale).sum(dtype=float))
+        a, b, c = places[t - 1], places[t], places[t + 1]
+        back = emit[b:c]
+        back *= beta[b:c]
+        np.dot(back, turned, out=beta[a : a + c - b])
+    moves = np.zeros((states, states))
+    for at in range(0, len(before), CHUNK):  # in parts, for the sums' precision
+        moves += alpha[before[at : at + CHUNK]].T @ emit[active[0] + at : active[0] + at + CHUNK]
+    alpha *= beta
+    counts = np.stack([np.bincount(symbols, alpha[:, k], len(model.emit)) for k in range(states)], 1)
+    return alpha[: active[0]].sum(0, dtype=float), moves * model.move, counts, float(np.log(scale).sum(dtype=float))
 
 
 def maximised(start: np.ndarray, moves: np.ndarray, counts: np.ndarray) -> Model:
@@ -231,7 +233,8 @@ def train(encoded: DataFrame, states: int = STATES, passes: int = PASSES) -> Mod
     spark, texts = encoded.sparkSession, encoded.where("not held_out").select("classes")
     n = texts.count()
     drawn = encoded.where("not held_out").where(F.pmod(F.xxhash64("doc_id", F.lit("start")), F.lit(1 << 60)) < (1 << 60) * min(1.0, WARM_DOCS / max(1, n)))
-    sample = drawn.select("doc_id", F.substring("classes", 1, 2 * 1000).alias("classes")).orderBy("doc_id", "classes").collect()
+    first = f"cast(1 + 2 * pmod(xxhash64(doc_id, 'stretch'), greatest(1L, n_tokens - {WARM_TOKENS} + 1)) as int)"
+    sample = drawn.selectExpr("doc_id", f"substring(classes, {first}, {2 * WARM_TOKENS}) as classes").orderBy("doc_id", "classes").collect()
     model = starting_point([np.frombuffer(r.classes, "<i2") for r in sample], states)
     cut_emit, cut_move = CLASSES * states, (CLASSES + states) * states
     for _ in range(passes if n else 0):
@@ -250,7 +253,7 @@ def train(encoded: DataFrame, states: int = STATES, passes: int = PASSES) -> Mod
                 for s in _sequences(batch.column(0)):
                     held.append(s)
                     size += len(s)
-                    if size > FLUSH // 2:
+                    if size > FLUSH:
                         add()
                         size = 0
             add()
@@ -296,7 +299,7 @@ def score(docs: DataFrame) -> DataFrame:
     rows count and score each by itself. Without training texts every word is unknown. An
     empty table gives no rows."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("held_out", held_out("doc_id", 7, 2))
+    rows = inputs(docs, doc_id="long", text="string").withColumn("held_out", held_out("doc_id", 7, 2))
     words = cut(vocabulary(rows.where("not held_out")))
     known = lexicon(words)
     encoded = cut(encode(rows.withColumn("rid", F.monotonically_increasing_id()), known))
