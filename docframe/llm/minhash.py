@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import arrow_map, mix, slices, texts_of, U, word_hashes
+from docframe.llm.common import arrow_map, inputs, mix, slices, texts_of, U, word_hashes
 from docframe.llm.components import connected_components
 from docframe.session import cut, release
 
@@ -34,8 +34,9 @@ _rng = np.random.Generator(np.random.PCG64(7))
 _MULTIPLIERS = _rng.integers(1, 1 << 63, PERMS, dtype=np.uint64) * U(2) + U(1)
 _PLACES = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
 _BAND_SEEDS = _rng.integers(1, 1 << 63, BANDS, dtype=np.uint64)
-#: Bits of the fixed-size filter that tells which documents may need their sets (1 MiB).
-FILTER_BITS = 1 << 23
+#: Bits, a document, of the filter that tells which documents may need their sets, and bits that it may have (16 MiB); where
+#: that is too few, texts are joined with the documents before they are hashed.
+FILTER_EACH, FILTER_BITS = 8, 1 << 27
 
 FEATURES = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"
 SETS = "id long, shingles array<long>, signature array<long>, bands array<long>"
@@ -56,8 +57,7 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
         if not count:
             continue
         if count < words:
-            whole = (hashes[end - count : end] * _PLACES[:count]).sum(dtype=U) + _PLACES[63 - count]
-            part = mix(np.array([whole], U))
+            part = mix((hashes[end - count : end] * _PLACES[:count]).sum(dtype=U, keepdims=True) + _PLACES[63 - count])
         else:
             part = np.sort(joined[end - count : end - words + 1])
             if len(part) > 1:
@@ -121,31 +121,38 @@ def features(docs: DataFrame, words: int) -> DataFrame:
                     ["doc_id", "n_shingles", "key1", "key2", "bands"],
                 )
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, FEATURES)
+    return arrow_map(inputs(docs, doc_id="long", text="string"), run, FEATURES)
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over column ``id``, OR-ed on the executors; at most
-    FILTER_BITS / 64 longs reach the driver however many ids there are."""
-    bits = ids.select(F.explode(F.array(*(F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(FILTER_BITS)) for k in (1, 2)))).alias("bit"))
+def _filter_of(ids: DataFrame, size: int) -> np.ndarray:
+    """A Bloom filter of ``size`` bits over column ``id``, OR-ed on the executors; at most
+    size / 64 longs reach the driver."""
+    bits = ids.select(F.explode(F.array(*(F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(size)) for k in (1, 2)))).alias("bit"))
     rows = bits.groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("set")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[rows["word"].to_numpy()] = rows["set"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """SETS of the documents in ``ids`` (id): a filter of fixed size keeps the other texts
-    from being hashed again, and a semi join removes its few false hits."""
+    """SETS of the documents in ``ids`` (id, distinct): a filter as large as their number asks for keeps the
+    other texts from being hashed again, and a semi join removes its few false hits. More ids than a
+    filter of bounded size can tell apart are joined with the texts first."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(np.packbits(_filter_of(ids)))
+    size = 1 << max(16, (FILTER_EACH * ids.count() - 1).bit_length())
+    keyed = inputs(docs, doc_id="long", text="string").withColumnRenamed("doc_id", "id").where("id is not null")
+    bits = spark.sparkContext.broadcast(_filter_of(ids, size) if size <= FILTER_BITS else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(bits.value).astype(bool)
+        wanted = bits.value
         for batch in batches:
-            hit = wanted[batch.column("h1").to_numpy()] & wanted[batch.column("h2").to_numpy()]
-            batch = batch.filter(pa.array(hit)).select(["id", "text"])
-            for part in slices(batch):
+            if wanted is not None:
+                hit = np.ones(len(batch), bool)
+                for name in ("h1", "h2"):
+                    at = batch.column(name).to_numpy()
+                    hit &= (wanted[at >> 6] >> (at & 63)) & 1 == 1
+                batch = batch.filter(pa.array(hit))
+            for part in slices(batch.select(["id", "text"])):
                 members, sizes = shingle_sets(texts_of(part), words)
                 if not sizes.all():  # a false hit without words
                     part, sizes = part.filter(pa.array(sizes > 0)), sizes[sizes > 0]
@@ -154,9 +161,10 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(members.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), lists, _lists(signatures(members, sizes)), _lists(band_hashes(members, sizes))], ["id", "shingles", "signature", "bands"])
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).where("id is not null")
+    if size > FILTER_BITS:
+        return arrow_map(keyed.join(ids, "id", "left_semi"), run, SETS)
     for k in (1, 2):
-        keyed = keyed.withColumn(f"h{k}", F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(FILTER_BITS)))
+        keyed = keyed.withColumn(f"h{k}", F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(size)))
     return arrow_map(keyed, run, SETS).join(ids, "id", "left_semi")
 
 
@@ -209,7 +217,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     heads = bands.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
     members = cut(bands.join(heads, "bucket"))
     sets = cut(sets_of(docs, members.select("id").distinct(), words))
-    
+
     def side(name: str) -> DataFrame:
         return sets.select(F.col("id").alias(name), F.size("shingles").alias(f"n_{name}"), F.col("signature").alias(f"sig_{name}"), F.col("bands").alias(f"bands_{name}"))
 
