@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import arrow_map, slices, texts_of
+from docframe.llm.common import arrow_map, inputs, slices, texts_of
 
 SIDE, FRAME, FPS = 24, 576, 25
 #: DC categories by code length (JPEG's BITS and HUFFVAL): differences of text bytes mostly have 4 to 7 bits.
@@ -409,7 +409,7 @@ def to_media(docs: DataFrame) -> DataFrame:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(store([padded(x) for x in texts_of(part)]), pa.binary())], ["doc_id", "media"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, media binary")
+    return arrow_map(inputs(docs, doc_id="long", text="string"), run, "doc_id long, media binary")
 
 
 def media_features(docs: DataFrame) -> DataFrame:
@@ -441,4 +441,4 @@ def media_features(docs: DataFrame) -> DataFrame:
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], [x.split()[0] for x in FEATURES.split(", ")])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, FEATURES)
+    return arrow_map(inputs(docs, doc_id="long", text="string"), run, FEATURES)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import arrow_map, slices, SPACE, texts_of, word_hashes
+from docframe.llm.common import arrow_map, inputs, slices, SPACE, texts_of, word_hashes
 from docframe.llm.folds import bounded_sample, held_out
 
 #: Labelled rows of each label value that are drawn for training.
@@ -203,10 +203,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     drawn, so the ids that are broadcast and the features that reach the driver are bounded; they count for all
     rows of their label, so that a score means the same at every size.
     Null labels and ids don't count; of several labels of a document, each counts."""
-    known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label"))
+    known = inputs(labels, **{"doc_id": "long", label: "int"}).toDF("doc_id", "label")
     known = known.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, remainder))
     drawn = bounded_sample(known, "label", SAMPLE_ROWS)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(drawn), "doc_id")
+    texts = inputs(docs, doc_id="long", text="string").join(F.broadcast(drawn), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,10 +230,11 @@ def predict(docs: DataFrame, model: Additive) -> DataFrame:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value(features(texts_of(part))))], ["doc_id", "score"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCORES)
+    return arrow_map(inputs(docs, doc_id="long", text="string"), run, SCORES)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, score, held_out, predicted`` by a model of the labels that aren't held out."""
+    """``doc_id, score, held_out, predicted`` by a model of the labels that aren't held out. Null ids are never held out and
+    never learned from; without labels every score is 0.5. For null texts, repeats and empty tables see :func:`predict`."""
     scored = predict(docs, train(docs, labels))
     return scored.withColumn("held_out", held_out("doc_id", 5, 0)).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

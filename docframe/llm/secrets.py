@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import arrow_map, slices
+from docframe.llm.common import arrow_map, inputs, numbered, place, slices
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -371,7 +371,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
                 rows = [[dict(zip(names, s, strict=True)) for s in scan(t)] if t else [] for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, kind)], ["doc_id", "spans"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SPANS)
+    return arrow_map(inputs(docs, doc_id="long", text="string"), run, SPANS)
 
 
 def _places(spans: list[tuple[str, int, int, str, str]]) -> list[tuple[int, int]]:
@@ -386,11 +386,13 @@ def _places(spans: list[tuple[str, int, int, str, str]]) -> list[tuple[int, int]
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with the places of all secrets in ``text`` replaced; other columns stay."""
+    """``docs`` with the places of all secrets in ``text`` replaced, encoded ones and each repeat included; other columns
+    stay, whatever their names. A null text stays null, an empty one empty; repeated rows are treated alike, an
+    empty table gives no rows."""
+    at = place(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             out = []
             for t in batch.column(at).to_pylist():
                 for start, end in reversed(_places(scan(t)) if t else []):
@@ -398,12 +400,14 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
                 out.append(t)
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
-    return arrow_map(docs, run, docs.schema)
+    flat = numbered(docs)
+    return arrow_map(flat, run, flat.schema).toDF(*docs.columns)
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
     """Per row: how many secrets of each kind the text itself has, the SHA-256 of their list, and
-    the list of all spans, decoded layers included; a place of several values of a kind is listed once."""
+    the list of all spans, decoded layers included; a place of several values of a kind is listed once. For nulls, empty texts,
+    repeats and empty tables see :func:`secret_spans`."""
     as_text = lambda xs: F.concat_ws(",", F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     base = F.filter("spans", lambda s: s["via"] == "")
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}' and s.via = '')) as long)").alias(f"n_{k}") for k in KINDS]

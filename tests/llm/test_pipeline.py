@@ -2,7 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline as p
-from docframe.llm import language, mixing
+from docframe.llm import language, lines, mixing
 from tests.llm.test_lines import brute as brute_lines
 from tests.llm.test_minhash import brute as brute_near
 from tests.llm.test_packing import reference
@@ -37,7 +37,7 @@ def test_run_matches_brute_force(spark, tmp_path):
     assert {r[0] for r in rows} - {r[0] for r in left} == {900, 901, 902}
     key = lambda xs: sorted(((x[0], x[1], x[3]) for x in xs), key=str)
     assert key(stages[0]) == key(left)
-    left = [(d, t, None, s) for d, s, t, *_ in brute_lines([(d, t, s) for d, t, _, s, _ in left], 0.1, 5)]
+    left = [(d, t, None, s) for d, s, t, *_ in brute_lines([(d, t, s) for d, t, _, s, _ in left], lines.RATIO, lines.LEAST)]
     assert key(stages[1]) == key(left) and all(r.n_chars == len(r.text) for r in stages[1] if "All rights" in dict((x[0], x[1]) for x in rows)[r.doc_id] and "All rights" not in r.text)
     of = brute_near([(d, t) for d, t, *_ in left if d is not None], 5, 80)
     once = {(d, t, None, s) for d, t, _, s in left if d is None or of[d][1] == d}
