@@ -41,5 +41,9 @@ class VersionConflict(DocframeError):
     """The document changed since it was read."""
 
 
+class WriteConflict(DocframeError):
+    """Another writer committed a change to the same table since this one began."""
+
+
 class Aborted(DocframeError):
     """A handler refused the change; nothing was written."""

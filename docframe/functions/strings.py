@@ -31,8 +31,9 @@ def starts_with(s: Column, part, ignore_case: bool = False) -> Column:
 
 
 def ends_with(s: Column, part, ignore_case: bool = False) -> Column:
-    """True for an empty part, unlike engines that compare a suffix of length 0."""
-    return F.endswith(F.lower(s), F.lower(_c(part))) if ignore_case else F.endswith(s, _c(part))
+    """A suffix of the part's length is compared, so only an empty text ends with an empty part."""
+    s, part = (F.lower(s), F.lower(_c(part))) if ignore_case else (s, _c(part))
+    return F.endswith(s, part) & ((F.length(part) > 0) | (F.length(s) == 0))
 
 
 def equals(a: Column, b, ignore_case: bool = False) -> Column:

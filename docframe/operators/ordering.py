@@ -64,6 +64,18 @@ def number_by(df: DataFrame, owner: Sequence[Column], order: Sequence[Key], name
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*owner).orderBy(*sort_columns(order))))
 
 
+def rank_by(df: DataFrame, owner: Sequence[Column], order: Sequence[Key], name: str = "rank", dense: bool = False) -> DataFrame:
+    """``df`` with each row's rank within its owner's: rows of equal order share one, and leave a gap unless ``dense``."""
+    ranked = (F.dense_rank() if dense else F.rank()).over(Window.partitionBy(*owner).orderBy(*sort_columns(order)))
+    return df.withColumn(name, ranked.cast("long"))
+
+
+def running_by(df: DataFrame, owner: Sequence[Column], order: Sequence[Key], **aggregates: Column) -> DataFrame:
+    """``df`` with aggregates over each row and those before it within its owner's."""
+    w = Window.partitionBy(*owner).orderBy(*sort_columns(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return df.select("*", *(a.over(w).alias(n) for n, a in aggregates.items()))
+
+
 def page_by(df: DataFrame, owner: Sequence[Column], order: Sequence[Key], skip: int = 0, take: int | None = None) -> DataFrame:
     out = number_by(df, owner, order).where(F.col("__row") > skip)
     return (out if take is None else out.where(F.col("__row") <= skip + take)).drop("__row")

@@ -27,6 +27,10 @@ class ToOne:
     on_delete: str = "restrict"
     on_owner_delete: str = "unlink"
 
+    @property
+    def key(self) -> tuple[str, str]:
+        return self.owner, self.field
+
 
 @dataclass(frozen=True)
 class ToMany:
@@ -43,6 +47,10 @@ class ToMany:
     on_delete: str = "unlink"
     on_owner_delete: str = "unlink"
 
+    @property
+    def key(self) -> tuple[str, str]:
+        return self.owner, self.name
+
 
 @dataclass
 class RelationCatalog:
@@ -59,7 +67,7 @@ class RelationCatalog:
             raise InvalidOperation("deletion is a policy for the owner's side only")
         if relation.on_owner_delete == "cascade" and isinstance(relation, ToOne) and relation.owner == relation.target:
             raise InvalidOperation("a collection can't cascade to itself")
-        key = (relation.owner, relation.field if isinstance(relation, ToOne) else relation.name)
+        key = relation.key
         if key in self.one or key in self.many:
             known = self.one.get(key) or self.many.get(key)
             if known != relation:
@@ -163,7 +171,10 @@ class Navigator:
 
     def include(self, query: Query, owner: str, *names: str, exclude: tuple[str, ...] = ()) -> Query:
         """The owners with whole targets: a struct for each reference (``<field>_value``), a list by target id for each to-many relation.
-        ``a.b`` includes relation b of the targets of a."""
+        ``a.b`` includes relation b of the targets of a. Without names, all relations of the owner that aren't excluded.
+        A list holds all targets of one owner, however many; page through a chain (``many``) where that is too much."""
+        if not names:
+            names = tuple(r.key[1] for r in self.catalog.outbound(owner) if r.key[1] not in exclude)
         clash = {(n, e) for n in names for e in exclude if n == e or n.startswith(f"{e}.")}
         if clash:
             raise NotSupported(f"included under what is excluded: {clash}")
@@ -196,6 +207,10 @@ class ManyChain(GroupChain):
             raise NotSupported("the targets carry no type")
         return self.where(F.col(kind) == name)
 
+    def cast(self, name: str, kind: str = "_type") -> ManyChain:
+        """All targets as one type; the result fails with CastError's text where one has another."""
+        return replace(self, frame=Query(self.frame, kind=kind).cast(name).frame)
+
     def all(self, p: Column, name: str = "all", nulls_pass: bool = True) -> DataFrame:
         return super().all(p, name, nulls_pass)
 

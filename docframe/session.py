@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docframe.errors import InvalidOperation
+
 #: Settings that hold for every query; cluster-level sizing is left to spark-submit.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -33,9 +35,11 @@ def get_spark(app: str = "docframe", master: str | None = None, **conf: str) ->
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where none is set (tests), one of our own."""
+    """The shared folder of ``spark.checkpoint.dir``; only where none is set in local mode (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise InvalidOperation("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), f"docframe-scratch-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

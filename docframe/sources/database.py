@@ -2,73 +2,87 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from dataclasses import asdict
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
-from docframe.errors import InvalidOperation, KeyNotFound, NotSupported, PolicyViolation, UniqueViolation, VersionConflict
+from docframe.errors import InvalidOperation, KeyNotFound, NotSupported, PolicyViolation, UniqueViolation, VersionConflict, WriteConflict
 from docframe.plans.query import Query
 from docframe.plans.relations import Navigator, RelationCatalog, ToMany, ToOne
 from docframe.session import cut
+from docframe.sources import storage as stored
 from docframe.sources.storage import Storage
 from docframe.streaming.events import Change, Handlers
 
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
+#: Directories that a table may consist of before an insert rewrites it.
+PARTS = 64
 
 
 class Database:
-    """``Database(spark, "memory:name")`` keeps tables for the session; any other source is a directory."""
+    """``Database(spark, "memory:name")`` keeps tables for the session; any other source is a directory.
+
+    A table is a list of parts (directories, or DataFrames in memory); inserts add one, other changes
+    replace them all. Tables, indexes, relations, ids and the marks of streams are sections of one
+    manifest, and change together or not at all. Outside a transaction every access sees the latest
+    commit of any handle; a commit fails with WriteConflict if another one changed the same
+    table since its transaction began."""
 
     def __init__(self, spark: SparkSession, source: str) -> None:
         self.spark, self.source = spark, source
         self.storage = None if source.startswith("memory:") else Storage(spark, source)
-        self.relations, self.handlers, self.ids = RelationCatalog(), Handlers(), {}
-        self._memory: dict[str, DataFrame] = {}
-        self._manifest = self.storage.read_manifest() if self.storage else {"tables": {}, "indexes": {}}
-        self._staged: list[dict[str, DataFrame | str | None]] = []
-        self.caching = False
+        self.handlers, self.caching = Handlers(), False
+        self._base: dict[str, Any] = self.storage.read_manifest() if self.storage else stored.empty()
+        self._staged: list[dict[tuple[str, str], Any]] = []
 
-    # -- tables
+    # -- what the manifest holds
 
-    def _places(self) -> dict[str, Any]:
-        out: dict[str, Any] = dict(self._manifest["tables"]) if self.storage else dict(self._memory)
+    def _section(self, name: str) -> dict[str, Any]:
+        """A section as it is now: the latest commit's, with what is staged."""
+        if self.storage and not self._staged:
+            self._base = self.storage.read_manifest()
+        out = dict(self._base[name])
         for layer in self._staged:
-            out.update(layer)
-        return {n: p for n, p in out.items() if p is not None}
-
-    def table(self, name: str) -> DataFrame:
-        found = self._places().get(name)
-        if found is None:
-            raise KeyNotFound(f"no collection {name!r}")
-        return self.storage.read(found) if self.storage else found
-
-    def _put(self, name: str, df: DataFrame | None) -> None:
-        """Stage a table's new version (None: drop it); outside a transaction it is committed at once."""
-        place = None if df is None else self.storage.write(name, df) if self.storage else cut(df)
-        if self._staged:
-            self._staged[-1][name] = place
-        else:
-            self._commit({name: place})
+            out.update({k: v for (s, k), v in layer.items() if s == name})
+        return {k: v for k, v in out.items() if v is not None}
 
-    def _commit(self, changes: dict[str, Any]) -> None:
-        target = self._manifest["tables"] if self.storage else self._memory
-        for name, place in changes.items():
-            if place is None:
-                target.pop(name, None)
-            else:
-                target[name] = place
-        if self.storage:
-            self.storage.write_manifest(self._manifest)
+    def _set(self, section: str, key: str, value: Any) -> None:
+        """Stage an entry (None: remove it); outside a transaction it is committed at once."""
+        with self.transaction():
+            self._staged[-1][section, key] = value
+
+    def _commit(self, layer: dict[tuple[str, str], Any]) -> None:
+        base = self._base
+        while True:
+            latest = self.storage.read_manifest() if self.storage else base
+            for section, key in layer:
+                if latest[section].get(key) is not base[section].get(key) and latest[section].get(key) != base[section].get(key):
+                    raise WriteConflict(f"{key}: another writer changed its {section}")
+            fresh = latest | {"number": latest["number"] + 1} | {s: dict(latest[s]) for s in stored.SECTIONS}
+            for (section, key), value in layer.items():
+                if value is None:
+                    fresh[section].pop(key, None)
+                else:
+                    fresh[section][key] = value
+            if not self.storage or self.storage.create_manifest(fresh):
+                self._base = fresh
+                return
 
     @contextmanager
     def transaction(self):
         """Changes inside are seen inside, and committed together at the end or dropped on an error. A transaction within
         another only drops its own changes."""
+        if self.storage and not self._staged:
+            self._base = self.storage.read_manifest()
         self._staged.append({})
         try:
             yield self
@@ -85,17 +99,54 @@ class Database:
         with self.transaction():
             return f(self)
 
+    # -- tables
+
+    def table(self, name: str) -> DataFrame:
+        parts = self._section("tables").get(name)
+        if parts is None:
+            raise KeyNotFound(f"no collection {name!r}")
+        return self.storage.read(parts) if self.storage else reduce(DataFrame.union, parts)
+
+    def _put(self, name: str, df: DataFrame | None) -> None:
+        """A table's new rows (None: drop it)."""
+        self._set("tables", name, None if df is None else [self.storage.write(name, df) if self.storage else cut(df)])
+
+    def _append(self, name: str, fresh: DataFrame) -> None:
+        """More rows of a table; only they are written, unless it has very many parts."""
+        parts = self._section("tables")[name]
+        if len(parts) >= PARTS:
+            self._put(name, self.table(name).unionByName(fresh).hint("rebalance"))
+        else:
+            self._set("tables", name, [*parts, self.storage.write(name, fresh) if self.storage else cut(fresh)])
+
+    @property
+    def ids(self) -> dict[str, str]:
+        """The id field of each collection."""
+        return self._section("ids")
+
+    @property
+    def relations(self) -> RelationCatalog:
+        out = RelationCatalog()
+        for r in self._section("relations").values():
+            out.add((ToOne if r["kind"] == "one" else ToMany)(**{k: v for k, v in r.items() if k != "kind"}))
+        return out
+
     # -- collections
 
-    def collection(self, name: str, schema: T.StructType | None = None, id: str = "Id", generate: Callable | None = None) -> Collection:
-        """A typed handle; the collection is created if it doesn't exist."""
+    def collection(self, name: str, schema: T.StructType | None = None, id: str | None = None, generate: Callable | None = None) -> Collection:
+        """A typed handle; the collection is created if it doesn't exist. ``id`` is the id field, "Id" for a new one."""
         if not _NAME.match(name):
             raise InvalidOperation(f"not a collection name: {name!r}")
-        self.ids[name] = id
-        if name not in self._places():
+        known = self.ids.get(name)
+        if known and id not in (None, known):
+            raise InvalidOperation(f"the id of {name} is {known}")
+        id = known or id or "Id"
+        if not self.exists(name):
             if schema is None:
                 raise KeyNotFound(f"no collection {name!r}")
-            self._put(name, self.spark.createDataFrame([], schema))
+            with self.transaction():
+                self._put(name, self.spark.createDataFrame([], schema))
+                self._set("ids", name, id)
         return Collection(self, name, id, generate)
 
     def untyped(self, name: str) -> Collection:
@@ -106,14 +157,16 @@ class Database:
         """Existing rows (a table, Parquet or JSON that was read) as a collection of a database in memory."""
         if self.storage:
             raise InvalidOperation("attach needs a database in memory")
-        self._memory[name], self.ids[name] = df, id
+        with self.transaction():
+            self._set("tables", name, [df])
+            self._set("ids", name, id)
         return Collection(self, name, id, None)
 
     def exists(self, name: str) -> bool:
-        return name in self._places()
+        return name in self._section("tables")
 
     def names(self) -> list[str]:
-        return sorted(self._places())
+        return sorted(self._section("tables"))
 
     def drop(self, name: str, missing_ok: bool = False) -> bool:
         if not self.exists(name):
@@ -123,14 +176,37 @@ class Database:
         inbound = [r for r in self.relations.inbound(name) if r.owner != name and self.exists(r.owner)]
         if inbound:
             raise PolicyViolation(f"{name} is the target of {inbound[0].owner}")
-        self._put(name, None)
+        with self.transaction():
+            self._put(name, None)
+            for r in self.relations.outbound(name):
+                self._set("relations", ".".join(r.key), None)
+            for section in ("ids", "indexes"):
+                self._set(section, name, None)
         return True
 
     def relate(self, relation: ToOne | ToMany) -> None:
-        self.relations.add(relation)
-        if isinstance(relation, ToMany) and relation.links and not self.exists(relation.links):
-            kind = T.StructType([T.StructField(relation.source_field, T.LongType()), T.StructField(relation.target_field, T.LongType())])
-            self._put(relation.links, self.spark.createDataFrame([], kind))
+        """Record a relation with the database. One that is known may get other policies; a reference may become a to-many
+        relation with a link table, which takes over its links. Any other change of a known relation is refused."""
+        RelationCatalog().add(relation)  # checks its policies
+        known, name = self._section("relations").get(".".join(relation.key)), ".".join(relation.key)
+        fresh = asdict(relation) | {"kind": "one" if isinstance(relation, ToOne) else "many"}
+        evolves = known is not None and known["kind"] == "one" and isinstance(relation, ToMany) and bool(relation.links)
+        parts = lambda r: {k: v for k, v in r.items() if not k.startswith("on_")}
+        if known is not None and not evolves and parts(known) != parts(fresh):
+            raise InvalidOperation(f"conflicting definitions of {name}")
+        if evolves and known["target"] != relation.target:
+            raise InvalidOperation(f"{name} can't move to another target")
+        with self.transaction():
+            if isinstance(relation, ToMany) and relation.links and not self.exists(relation.links):
+                kind = T.StructType([T.StructField(relation.source_field, T.LongType()), T.StructField(relation.target_field, T.LongType())])
+                links = self.spark.createDataFrame([], kind)
+                if evolves:
+                    owners = self.table(relation.owner)
+                    held = owners.where(Navigator.has_value(known["field"])).select(F.col(self.ids[relation.owner]), F.col(known["field"]))
+                    links = links.union(held)
+                    self._put(relation.owner, owners.drop(known["field"]))
+                self._put(relation.links, links)
+            self._set("relations", name, fresh)
 
     @property
     def navigate(self) -> Navigator:
@@ -144,6 +220,36 @@ class Database:
             self.table(name).createOrReplaceTempView(name)
         return self.spark.sql(text, args=args or None)
 
+    def execute(self, text: str, **args: Any) -> int:
+        """A raw INSERT INTO t (a, b) SELECT or VALUES, UPDATE t SET a = x WHERE c, or DELETE FROM t WHERE c, with ``:name``
+        arguments, through the collection: ids, indexes, handlers and policies hold. Returns the number of rows."""
+        bound = lambda x: reduce(lambda t, kv: re.sub(rf":{kv[0]}\b", lambda _: _literal(kv[1]), t), args.items(), x)
+        text = bound(text.strip().rstrip(";"))
+        if m := re.match(r"(?is)DELETE\s+FROM\s+(\w+)(?:\s+WHERE\s+(.+))?\Z", text):
+            return self.collection(m[1]).delete_many(F.expr(m[2] or "true"))
+        if m := re.match(r"(?is)UPDATE\s+(\w+)\s+SET\s+(.+?)(?:\s+WHERE\s+(.+))?\Z", text):
+            changes = (x.split("=", 1) for x in re.split(r",(?![^()]*\))(?=\s*\w+\s*=)", m[2]))
+            return self.collection(m[1]).update_many(F.expr(m[3] or "true"), {c.strip(): F.expr(v) for c, v in changes})
+        if m := re.match(r"(?is)INSERT\s+INTO\s+(\w+)\s*\(([^)]*)\)\s*(SELECT.+|VALUES.+)\Z", text):
+            rows = cut(self.sql(m[3]).toDF(*(c.strip() for c in m[2].split(","))))
+            self.collection(m[1]).insert_batch(rows)
+            return rows.count()
+        raise NotSupported("only INSERT INTO, UPDATE and DELETE FROM are executed")
+
+    def sql_map(self, text: str, *split_on: str, **args: Any) -> DataFrame:
+        """A query whose columns hold several objects side by side, as one struct each (``_1``, ``_2``, ...): each name of
+        ``split_on`` starts the next object at the next column of that name."""
+        found = self.sql(text, **args)
+        names, starts = found.columns, [0]
+        for name in split_on:
+            rest = [i for i in range(starts[-1] + 1, len(names)) if names[i] == name]
+            if not rest:
+                raise InvalidOperation(f"no further column {name} to split on")
+            starts.append(rest[0])
+        flat = found.toDF(*(f"c{i}" for i in range(len(names))))
+        ends = [*starts[1:], len(names)]
+        return flat.select(*(F.struct(*(F.col(f"c{i}").alias(names[i]) for i in range(a, b))).alias(f"_{k}") for k, (a, b) in enumerate(zip(starts, ends, strict=True), 1)))
+
     def sql_first(self, text: str, default: Any = ..., **args: Any) -> Any:
         row = self.sql(text, **args).first()
         if row is None:
@@ -153,14 +259,18 @@ class Database:
         return row
 
     def backup(self, target: str) -> None:
-        """Copy every collection, each in as few files as its size needs."""
+        """Copy every collection, with its indexes, relations and ids."""
         other = Database(self.spark, target)
-        with other.transaction():
+        with self.transaction(), other.transaction():
             for name in self.names():
                 other._put(name, self.table(name))
+            for section in ("indexes", "relations", "ids"):
+                for key, value in self._section(section).items():
+                    other._set(section, key, value)
 
-    def vacuum(self) -> int:
-        return self.storage.vacuum(set(self._manifest["tables"].values())) if self.storage else 0
+    def vacuum(self, grace_s: float = 86_400) -> int:
+        """Delete versions that no reader can reach and that were left ``grace_s`` seconds ago; returns how many."""
+        return self.storage.vacuum(grace_s) if self.storage else 0
 
     def optimize(self) -> None:
         """Rewrite collections into files of an even size."""
@@ -204,31 +314,68 @@ class Collection:
     # -- indexes
 
     def ensure_index(self, *fields: str, unique: bool = False) -> None:
-        """Recorded with the database. A unique one is checked now and on every write."""
-        missing = [f for f in fields if f not in self.df.columns]
-        if missing or not fields or self.id in fields:
-            raise InvalidOperation(f"can't be indexed: {missing or fields}")
+        """Recorded with the database. A unique one is checked now and on every write. A field is a column or an
+        SQL expression over columns; constants, sub-queries and the id are refused."""
+        df = self.df
+        for f in fields:
+            if f in df.columns:
+                continue
+            try:
+                read = df.selectExpr(f)._jdf.queryExecution().analyzed()
+            except AnalysisException as error:
+                raise InvalidOperation(f"can't be indexed: {f}") from error
+            used = read.expressions().mkString(" ")
+            if "#" not in used or "scalar-subquery" in used or re.search(rf"\b{self.id}#", used):
+                raise InvalidOperation(f"can't be indexed: {f}")
+        if not fields or self.id in fields:
+            raise InvalidOperation(f"can't be indexed: {fields}")
         if unique:
-            self._check_unique(self.df, [fields])
-        self.db._manifest["indexes"].setdefault(self.name, {})[",".join(fields)] = unique
-        if self.db.storage:
-            self.db.storage.write_manifest(self.db._manifest)
+            self._check_unique(df, [fields])
+        self.db._set("indexes", self.name, self._indexes() | {json.dumps(fields): unique})
 
     def drop_index(self, *fields: str) -> bool:
-        return self.db._manifest["indexes"].get(self.name, {}).pop(",".join(fields), None) is not None
+        known = self._indexes()
+        if known.pop(json.dumps(fields), None) is None:
+            return False
+        self.db._set("indexes", self.name, known)
+        return True
+
+    def _indexes(self) -> dict[str, bool]:
+        return dict(self.db._section("indexes").get(self.name, {}))
 
     def _unique(self) -> list[tuple[str, ...]]:
-        return [tuple(k.split(",")) for k, u in self.db._manifest["indexes"].get(self.name, {}).items() if u]
+        return [tuple(json.loads(k)) for k, u in self._indexes().items() if u]
 
-    def _check_unique(self, df: DataFrame, keys: Iterable[tuple[str, ...]]) -> None:
+    def _keyed(self, df: DataFrame, key: tuple[str, ...]) -> DataFrame:
+        """The values of a unique key, of rows that have all of them."""
+        return df.selectExpr(*(f"{f} AS k{i}" for i, f in enumerate(key))).dropna()
+
+    def _check_unique(self, df: DataFrame, keys: Iterable[tuple[str, ...]], others: DataFrame | None = None) -> None:
+        """No key twice in ``df``, nor in both ``df`` and ``others``."""
         for key in keys:
-            twice = df.dropna(subset=list(key)).groupBy(*key).count().where("count > 1").limit(1).first()
+            values = self._keyed(df, key)
+            twice = values.groupBy(*values.columns).count().where("count > 1").drop("count").limit(1).first()
+            if twice is None and others is not None:
+                twice = values.join(self._keyed(others, key), values.columns, "left_semi").limit(1).first()
             if twice is not None:
-                raise UniqueViolation(f"{self.name}: more than one document with {twice.asDict()}")
+                raise UniqueViolation(f"{self.name}: more than one document with {dict(zip(key, twice, strict=True))}")
 
     # -- writes
 
-    def _rows(self, items: Iterable[dict | Row] | DataFrame) -> DataFrame:
+    def _number(self, rows: list[dict]) -> None:
+        """Give rows without an id the next one, in their order."""
+        if self.df.schema[self.id].dataType.typeName() not in ("long", "integer"):
+            return
+        top = None
+        for r in rows:
+            if (r.get(self.id) or 0) < 0:
+                raise InvalidOperation("a negative id")
+            if top is None:
+                top = 0 if all(x.get(self.id) for x in rows) else self.df.agg(F.max(self.id)).first()[0] or 0
+            r[self.id] = r.get(self.id) or top + 1
+            top = max(top, r[self.id])
+
+    def _rows(self, items: Iterable[dict | Row] | DataFrame, number: bool = False) -> DataFrame:
         schema = self.df.schema
         if isinstance(items, DataFrame):
             out = items
@@ -240,6 +387,8 @@ class Collection:
                 for r in rows:
                     if r.get(self.id) in (None, 0, ""):
                         r[self.id] = self.generate(self, r)
+            elif number:
+                self._number(rows)
             variants = [f.name for f in schema if isinstance(f.dataType, T.VariantType)]
             flat = T.StructType([T.StructField(f.name, T.StringType() if f.name in variants else f.dataType) for f in schema])
             out = self.db.spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], flat)
@@ -266,11 +415,12 @@ class Collection:
         return named.select(*keep).union(fresh.where(F.coalesce(F.col(self.id), F.lit(0)) != 0).select(*keep))
 
     def _write(self, kind: str, rows: DataFrame, items: DataFrame | None, old: DataFrame | None, unique: bool = True) -> None:
+        """Replace the table's rows. The indexed keys of ``items`` are checked against the rows that they don't replace."""
         change = Change(self.db, self.name, items, old)
         with self.db.transaction():
             self.db.handlers.fire({"insert": "inserting", "update": "updating", "delete": "deleting"}[kind], change)
-            if unique:
-                self._check_unique(rows, [(self.id,), *self._unique()])
+            if unique and items is not None and self._unique():
+                self._check_unique(items, self._unique(), rows.join(items.select(self.id), self.id, "left_anti"))
             self.db._put(self.name, rows)
             self.db.handlers.fire({"insert": "inserted", "update": "updated", "delete": "deleted"}[kind], change)
 
@@ -278,12 +428,23 @@ class Collection:
         """Returns the id, generated if it isn't given."""
         return self.insert_batch([item])[0]
 
-    def insert_batch(self, items: Iterable[dict | Row] | DataFrame) -> list:
-        """All or none. Returns the ids, in no order for a DataFrame; those of a DataFrame of more than a million rows aren't fetched."""
-        fresh = cut(self._with_ids(self._rows(items)))
-        self._write("insert", self.df.unionByName(fresh), fresh, None)
-        ids = fresh.select(self.id)
-        return [r[0] for r in (ids.orderBy(self.id) if not isinstance(items, DataFrame) else ids).take(1_000_000)]
+    def insert_batch(self, items: Iterable[dict | Row] | DataFrame) -> list | DataFrame:
+        """All or none; only the new rows are written. Returns the ids: a list in the order of the items, or for a DataFrame
+        a DataFrame (of any size)."""
+        with self.db.transaction():
+            fresh, ids = self._rows(items, True), None
+            if isinstance(items, DataFrame):
+                fresh = cut(self._with_ids(fresh))
+            else:
+                fresh = cut(fresh.withColumn("__at", F.monotonically_increasing_id()))
+                ids = [r[0] for r in fresh.orderBy("__at").select(self.id).collect()]
+                fresh = fresh.drop("__at")
+            change = Change(self.db, self.name, fresh, None)
+            self.db.handlers.fire("inserting", change)
+            self._check_unique(fresh, [(self.id,), *self._unique()], self.df)
+            self.db._append(self.name, fresh)
+            self.db.handlers.fire("inserted", change)
+        return fresh.select(self.id) if ids is None else ids
 
     def upsert(self, item: dict | Row) -> None:
         self.upsert_batch([item])
@@ -304,7 +465,10 @@ class Collection:
         fresh = cut(self._with_ids(given.select(*self.df.columns).union(new.select(*self.df.columns))))
         kept = self.df.join(fresh.select(self.id), self.id, "left_anti")
         for key in self._unique():
-            kept = kept.join(fresh.select(*key), list(key), "left_anti")
+            mine = self._keyed(fresh, key)
+            named = kept.selectExpr("*", *(f"{f} AS __k{i}" for i, f in enumerate(key)))
+            met = reduce(lambda a, b: a & b, (F.col(f"__k{i}") == F.col(f"k{i}") for i in range(len(key))))
+            kept = named.join(mine, met, "left_anti")
         self._write("update", kept.select(*self.df.columns).unionByName(fresh), fresh, self.df.join(fresh.select(self.id), self.id, "left_semi"))
 
     def update(self, item: dict | Row, version: Any = None, version_field: str | None = None) -> None:
@@ -359,52 +523,60 @@ class Collection:
         if not n:
             return 0
         with self.db.transaction():
-            _apply_policies(self.db, self.name, gone, set())
-            left = self.df.join(gone, self.id, "left_anti").select(*self.df.columns)
-            self._write("delete", left, None, self.df.join(gone, self.id, "left_semi"), unique=False)
+            doomed = _Doomed(self.db)
+            doomed.close(self.name, gone)
+            doomed.check(self.name, gone)
+            doomed.apply()
         return n
 
     def write_batch(self, batch: DataFrame, number: int, upsert: bool = False) -> None:
         """A stream's batch; one that was written before is skipped."""
-        marks = self.db._manifest.setdefault("batches", {})
-        if marks.get(self.name, -1) >= number:
-            return
         with self.db.transaction():
+            if self.db._section("batches").get(self.name, -1) >= number:
+                return
             (self.upsert_batch if upsert else self.insert_batch)(batch)
-            marks[self.name] = number
+            self.db._set("batches", self.name, number)
 
     # -- relations
 
-    def link(self, name: str, source: Any, *targets: Any) -> None:
-        """Add targets to a to-many relation; links that exist stay single."""
+    def _linked(self, name: str) -> ToMany:
         rel = self.db.navigate._relation(self.name, name)
         if not rel.links:
             raise NotSupported("the relation has no link table")
+        return rel
+
+    def link(self, name: str, source: Any, *targets: Any) -> None:
+        """Add targets to a to-many relation; links that exist stay single."""
+        rel = self._linked(name)
         known = self.db.table(rel.links)
-        fresh = self.db.spark.createDataFrame([(source, t) for t in targets], known.schema)
-        self.db._put(rel.links, known.union(fresh).distinct())
+        fresh = self.db.spark.createDataFrame([(source, t) for t in dict.fromkeys(targets)], known.schema)
+        self.db._append(rel.links, fresh.join(known, known.columns, "left_anti"))
 
     def unlink(self, name: str, source: Any, *targets: Any) -> None:
         """Remove targets (none given: all) from a to-many relation."""
-        rel = self.db.navigate._relation(self.name, name)
+        rel = self._linked(name)
         here = F.col(rel.source_field) == F.lit(source)
         if targets:
             here = here & F.col(rel.target_field).isin(list(targets))
         self.db._put(rel.links, self.db.table(rel.links).where(~F.coalesce(here, F.lit(False))))
 
+    def set_links(self, name: str, source: Any, targets: Iterable[Any]) -> None:
+        """Make exactly these the targets. Links that go are removed in one write; if none go, only new ones are written."""
+        rel, targets = self._linked(name), list(dict.fromkeys(targets))
+        with self.db.transaction():
+            known = self.db.table(rel.links)
+            stale = F.coalesce((F.col(rel.source_field) == F.lit(source)) & ~F.col(rel.target_field).isin(targets), F.lit(False))
+            fresh = self.db.spark.createDataFrame([(source, t) for t in targets], known.schema).join(known, known.columns, "left_anti")
+            if known.where(stale).limit(1).count():
+                self.db._put(rel.links, known.where(~stale).union(fresh))
+            elif targets:
+                self.db._append(rel.links, fresh)
+
     def set_reference(self, condition: Column, field: str, target: Any) -> int:
         if (self.name, field) not in self.db.relations.one:
             raise NotSupported(f"{field} isn't a reference")
         return self.update_many(condition, {field: F.lit(target)})
 
-    def set_links(self, name: str, source: Any, targets: Iterable[Any]) -> None:
-        """Make exactly these the targets; only the difference is written."""
-        with self.db.transaction():
-            self.unlink(name, source)
-            targets = list(targets)
-            if targets:
-                self.link(name, source, *targets)
-
     def update_through(self, path: tuple[str, ...], condition: Column, change: dict[str, Column]) -> int:
         """Change documents at the end of a path of references from the matching ones."""
         nav, owner = self.db.navigate, self.name
@@ -441,87 +613,146 @@ class Collection:
         self.db._put(many.links, fresh.select(*links.columns))
 
     def insert_graph(self, item: dict) -> Any:
-        """Insert a document with new documents in place of its references (dicts) and to-many targets (lists of dicts), those first."""
-        flat, many = dict(item), {}
+        """Insert a document with new documents in place of its references (dicts) and to-many targets (lists of dicts), those
+        first. A dict that occurs more than once is one document, also where documents refer to each other in a circle."""
+        keys: dict[int, Any] = {}
+        later: list[Callable[[], Any]] = []
         with self.db.transaction():
-            for rel in self.db.relations.outbound(self.name):
-                name = rel.field if isinstance(rel, ToOne) else rel.name
-                value = flat.get(name)
-                other = Collection(self.db, rel.target, self.db.ids[rel.target], None)
-                if isinstance(rel, ToOne) and isinstance(value, dict):
-                    flat[name] = other.insert_graph(value)
-                elif isinstance(rel, ToMany) and value:
-                    many[name] = [other.insert_graph(v) if isinstance(v, dict) else v for v in flat.pop(name)]
-            key = self.insert(flat)
-            for name, targets in many.items():
-                self.link(name, key, *targets)
+            key = self._insert_graph(item, keys, later)
+            for step in later:
+                step()
         return key
 
+    def _insert_graph(self, item: dict, keys: dict[int, Any], later: list[Callable[[], Any]]) -> Any:
+        if id(item) in keys:
+            return keys[id(item)]  # None while it is being inserted
+        keys[id(item)] = None
+        flat, open_ones, many = dict(item), {}, {}
+        for rel in self.db.relations.outbound(self.name):
+            name = rel.key[1]
+            value = flat.get(name)
+            other = Collection(self.db, rel.target, self.db.ids[rel.target], None)
+            if isinstance(rel, ToOne) and isinstance(value, dict):
+                flat[name] = other._insert_graph(value, keys, later)
+                if flat[name] is None:
+                    open_ones[name] = value
+            elif isinstance(rel, ToMany) and value:
+                many[name] = [(v, other._insert_graph(v, keys, later) if isinstance(v, dict) else v) for v in flat.pop(name)]
+        key = keys[id(item)] = self.insert(flat)
+        for name, value in open_ones.items():
+            later.append(lambda name=name, value=value: self.update_many(F.col(self.id) == F.lit(key), {name: F.lit(keys[id(value)])}))
+        for name, targets in many.items():
+            done = [t for _, t in targets if t is not None]
+            if done:
+                self.link(name, key, *done)
+            for v in (v for v, t in targets if t is None):
+                later.append(lambda name=name, v=v: self.link(name, key, keys[id(v)]))
+        return key
+
+
+def _literal(value: Any) -> str:
+    if value is None or isinstance(value, (bool, int, float)):
+        return {None: "NULL", True: "true", False: "false"}[value] if value is None or isinstance(value, bool) else repr(value)
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
-def _apply_policies(db: Database, name: str, gone: DataFrame, seen: set[str]) -> None:
-    """What deleting the ids ``gone`` of ``name`` means for its relations, both ways."""
-    if name in seen:
-        return
-    seen = seen | {name}
-    gone = gone.toDF("__gone")
-    for rel in db.relations.inbound(name):
-        if not db.exists(rel.owner):
-            continue
+class _Doomed:
+    """The ids that a deletion takes with it, by collection, as tables."""
+
+    def __init__(self, db: Database) -> None:
+        self.db, self.ids, self.catalog = db, {}, db.relations
+
+    def add(self, name: str, ids: DataFrame) -> DataFrame | None:
+        """The ids that weren't there yet, or None if all were."""
+        fresh = ids.toDF("id").dropna().distinct()
+        if name in self.ids:
+            fresh = fresh.join(self.ids[name], "id", "left_anti")
+        fresh = cut(fresh)
+        if not fresh.limit(1).count():
+            return None
+        self.ids[name] = fresh if name not in self.ids else cut(self.ids[name].union(fresh))
+        return fresh
+
+    def pairs(self, rel: ToOne | ToMany) -> DataFrame | None:
+        """A relation's links as (source, target); None if it has no rows of its own."""
+        if not self.db.exists(rel.owner):
+            return None
         if isinstance(rel, ToOne):
-            owners = db.table(rel.owner)
-            hit = owners.join(gone, F.col(rel.field) == F.col("__gone"), "left_semi")
-            if not hit.limit(1).count():
-                continue
-            if rel.on_delete == "restrict":
-                raise PolicyViolation(f"{rel.owner}.{rel.field} still refers to documents of {name}")
-            owner = Collection(db, rel.owner, db.ids[rel.owner], None)
-            if rel.on_delete == "cascade":
-                ids = cut(hit.select(owner.id))
-                _apply_policies(db, rel.owner, ids, seen)
-                owner._write("delete", owners.join(ids, owner.id, "left_anti").select(*owners.columns), None, hit, unique=False)
-            else:
-                marked = owners.join(gone, F.col(rel.field) == F.col("__gone"), "left")
-                fresh = marked.withColumn(rel.field, F.when(F.col("__gone").isNull(), F.col(rel.field))).select(*owners.columns)
-                owner._write("update", fresh, None, hit, unique=False)
-        elif rel.links:
-            links = db.table(rel.links)
-            hit = links.join(gone, F.col(rel.target_field) == F.col("__gone"), "left_semi")
-            if not hit.limit(1).count():
-                continue
-            if rel.on_delete == "restrict":
-                raise PolicyViolation(f"{rel.owner}.{rel.name} still links to documents of {name}")
-            if rel.on_delete == "cascade":
-                owner = Collection(db, rel.owner, db.ids[rel.owner], None)
-                ids = cut(hit.select(F.col(rel.source_field).alias(owner.id)).distinct())
-                _apply_policies(db, rel.owner, ids, seen)
-                owners = owner.df
-                owner._write("delete", owners.join(ids, owner.id, "left_anti").select(*owners.columns), None, owners.join(ids, owner.id, "left_semi"), unique=False)
-                links = db.table(rel.links)
-            db._put(rel.links, links.join(gone, F.col(rel.target_field) == F.col("__gone"), "left_anti"))
-    for rel in db.relations.outbound(name):
-        if isinstance(rel, ToMany) and rel.links:
-            links = db.table(rel.links)
-            mine = links.join(gone, F.col(rel.source_field) == F.col("__gone"), "left_semi")
-            rest = cut(links.join(gone, F.col(rel.source_field) == F.col("__gone"), "left_anti"))
-            targets, others = mine.select(F.col(rel.target_field).alias("__t")).distinct(), rest.select(F.col(rel.target_field).alias("__t"))
-        elif isinstance(rel, ToOne):
-            owners = db.table(rel.owner)
-            mine = owners.join(gone, F.col(db.ids[rel.owner]) == F.col("__gone"), "left_semi")
-            targets = mine.where(Navigator.has_value(rel.field)).select(F.col(rel.field).alias("__t")).distinct()
-            others = owners.join(gone, F.col(db.ids[rel.owner]) == F.col("__gone"), "left_anti").select(F.col(rel.field).alias("__t"))
-            rest = None
-        else:
-            continue
-        targets = cut(targets)
-        if rel.on_owner_delete == "restrict" and targets.limit(1).count():
-            raise PolicyViolation(f"documents of {name} still have targets in {rel.target}")
-        if rest is not None:
-            db._put(rel.links, rest)
-        if rel.on_owner_delete in ("cascade", "deletion"):  # deletion: only targets that no one else refers to
-            dead = targets if rel.on_owner_delete == "cascade" else targets.join(others, "__t", "left_anti")
-            target = Collection(db, rel.target, db.ids[rel.target], None)
-            ids = cut(target.df.join(dead, F.col(target.id) == F.col("__t"), "left_semi").select(target.id))
-            if ids.limit(1).count():
-                _apply_policies(db, rel.target, ids, seen)
-                rows = target.df
-                target._write("delete", rows.join(ids, target.id, "left_anti").select(*rows.columns), None, rows.join(ids, target.id, "left_semi"), unique=False)
+            return self.db.table(rel.owner).where(Navigator.has_value(rel.field)).select(F.col(self.db.ids[rel.owner]).alias("source"), F.col(rel.field).alias("target"))
+        return self.db.table(rel.links).toDF("source", "target") if rel.links else None
+
+    def sources(self, rel: ToOne | ToMany, targets: DataFrame) -> DataFrame | None:
+        pairs = self.pairs(rel)
+        return None if pairs is None else pairs.join(targets.toDF("target"), "target", "left_semi").select("source")
+
+    def left(self, rel: ToOne | ToMany, pairs: DataFrame) -> DataFrame:
+        """Links whose owner stays."""
+        return pairs.join(self.ids[rel.owner].toDF("source"), "source", "left_anti") if rel.owner in self.ids else pairs
+
+    def close(self, name: str, ids: DataFrame) -> None:
+        """Add ``ids`` and all that follows from them: owners that cascade, until there are no more; then targets that
+        their owners' deletion takes along and that nothing that stays refers to; and so on until nothing is added."""
+        todo = [(name, ids)]
+        while todo:
+            while todo:
+                at, found = todo.pop()
+                fresh = self.add(at, found)
+                for rel in self.catalog.inbound(at) if fresh is not None else []:
+                    if rel.on_delete == "cascade" and (owners := self.sources(rel, fresh)) is not None:
+                        todo.append((rel.owner, owners))
+            for at in list(self.ids):
+                for rel in self.catalog.outbound(at):
+                    pairs = self.pairs(rel) if rel.on_owner_delete in ("cascade", "deletion") else None
+                    if pairs is None:
+                        continue
+                    targets = pairs.join(self.ids[at].toDF("source"), "source", "left_semi").select("target").distinct()
+                    if rel.target in self.ids:
+                        targets = targets.join(self.ids[rel.target].toDF("target"), "target", "left_anti")
+                    if rel.on_owner_delete == "deletion":
+                        for other in self.catalog.inbound(rel.target):
+                            if (held := self.pairs(other)) is not None:
+                                targets = targets.join(self.left(other, held).select("target").distinct(), "target", "left_anti")
+                    targets = cut(targets)
+                    if targets.limit(1).count():
+                        todo.append((rel.target, targets))
+
+    def check(self, root: str, ids: DataFrame) -> None:
+        """Raise if an owner that stays restricts the deletion of a target, or the deleted documents themselves that of
+        owners with targets."""
+        for name, gone in self.ids.items():
+            for rel in self.catalog.inbound(name):
+                pairs = self.pairs(rel) if rel.on_delete == "restrict" else None
+                if pairs is not None and self.left(rel, pairs).join(gone.toDF("target"), "target", "left_semi").limit(1).count():
+                    raise PolicyViolation(f"{'.'.join(rel.key)} still refers to documents of {name}")
+        for rel in self.catalog.outbound(root):
+            pairs = self.pairs(rel) if rel.on_owner_delete == "restrict" else None
+            if pairs is not None and pairs.join(ids.toDF("source"), "source", "left_semi").limit(1).count():
+                raise PolicyViolation(f"documents of {root} still have targets in {rel.target}")
+
+    def apply(self) -> None:
+        """Clear what refers to the doomed documents, and delete them."""
+        for name, gone in self.ids.items():
+            for rel in self.catalog.inbound(name):
+                if isinstance(rel, ToOne) and self.db.exists(rel.owner):
+                    owner = Collection(self.db, rel.owner, self.db.ids[rel.owner], None)
+                    owners = owner.df
+                    mine = gone.toDF("__gone")
+                    hit = owners.join(mine, F.col(rel.field) == F.col("__gone"), "left_semi")
+                    if rel.owner in self.ids:
+                        hit = hit.join(self.ids[rel.owner].toDF(owner.id), owner.id, "left_anti").select(*owners.columns)
+                    if hit.limit(1).count():
+                        marked = owners.join(mine, F.col(rel.field) == F.col("__gone"), "left")
+                        fresh = marked.withColumn(rel.field, F.when(F.col("__gone").isNull(), F.col(rel.field))).select(*owners.columns)
+                        owner._write("update", fresh, hit.withColumn(rel.field, F.lit(None).cast(owners.schema[rel.field].dataType)), hit, unique=False)
+        for rel in self.catalog.many.values():
+            ends = [(e, n) for e, n in (("source", rel.owner), ("target", rel.target)) if n in self.ids]
+            if rel.links and ends and self.db.exists(rel.links):
+                links = self.db.table(rel.links)
+                rest = links.toDF("source", "target")
+                for end, n in ends:
+                    rest = rest.join(self.ids[n].toDF(end), end, "left_anti")
+                self.db._put(rel.links, rest.select("source", "target").toDF(*links.columns))
+        for name, gone in self.ids.items():
+            col = Collection(self.db, name, self.db.ids[name], None)
+            rows, mine = col.df, gone.toDF(col.id)
+            col._write("delete", rows.join(mine, col.id, "left_anti").select(*rows.columns), None, rows.join(mine, col.id, "left_semi").select(*rows.columns), unique=False)
