@@ -242,22 +242,7 @@ def registered_functions(t: Tables):
     return t.documents.select("doc_id", h=call("SHA_HASH", c("lang")), u=call("TO_UPPER", c("lang")), b=call("BASE64", c("lang").cast("binary")))
 
 
-# -- rows that mutations leave
-
-
-def _steps(frame, condition, *steps):
-    """What Collection.update_many writes."""
-    hit = F.coalesce(condition, F.lit(False))
-    frame = frame.withColumn("__hit", hit)
-    for s in steps:
-        frame = frame.withColumns({k: F.when(F.col("__hit"), v).otherwise(F.col(k)) for k, v in s.items()})
-    return frame.drop("__hit")
-
-
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN 'F-done' ELSE o_orderpriority END AS o_orderpriority FROM orders")
-def update_many_set(t: Tables):
-    out = _steps(t.orders.frame, c("o_orderstatus") == "P", {"o_orderstatus": F.lit("F")}, {"o_orderpriority": F.concat("o_orderstatus", F.lit("-done"))})
-    return out.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+# -- array edits and time buckets
 
 
 @query(
@@ -270,38 +255,6 @@ def array_append_set_remove_insert(t: Tables):
     return t.orders.select("o_orderkey", app=text(nested.append(a, n(9))), st=text(nested.set_at(a, 1, n(7))), rm=text(nested.remove_at(a, 0)), ins=text(nested.insert_at(a, 1, n(5))))
 
 
-@query("SELECT o_orderkey FROM orders WHERE NOT coalesce(o_totalprice < 100000, false)")
-def delete_many(t: Tables):
-    return t.orders.where(~F.coalesce(c("o_totalprice") < 100000, F.lit(False))).select("o_orderkey")
-
-
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey <> (SELECT min(o_orderkey) FROM orders WHERE o_orderstatus = 'F')")
-def delete_one(t: Tables):
-    first = t.orders.where(c("o_orderstatus") == "F").frame.agg(F.min("o_orderkey").alias("k"))
-    return t.orders.frame.join(F.broadcast(first), c("o_orderkey") == c("k"), "left_anti").select("o_orderkey")
-
-
-@query("SELECT s_suppkey, CASE WHEN s_nationkey = 3 THEN 'gone' ELSE s_name END AS s_name, CASE WHEN s_nationkey = 3 THEN 0 ELSE round(s_acctbal, 2) END AS s_acctbal FROM supplier")
-def replace_many(t: Tables):
-    out = _steps(t.supplier.frame, c("s_nationkey") == 3, {"s_name": F.lit("gone"), "s_acctbal": F.lit(0.0)})
-    return out.select("s_suppkey", "s_name", F.round("s_acctbal", 2).alias("s_acctbal"))
-
-
-@query(
-    """SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier) UNION ALL
-       SELECT s_nationkey, max_by(s_name, s_suppkey) FROM supplier GROUP BY s_nationkey"""
-)
-def upsert_batch(t: Tables):
-    fresh = t.supplier.frame.groupBy(c("s_nationkey").alias("n_nationkey")).agg(F.max_by("s_name", "s_suppkey").alias("n_name"))
-    kept = t.nation.frame.select("n_nationkey", "n_name").join(fresh.select("n_nationkey"), "n_nationkey", "left_anti")
-    return kept.unionByName(fresh)
-
-
-@query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
-def unique_check(t: Tables):
-    return t.lineitem.frame.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1").select("l_orderkey", "n")
-
-
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2")
 def events_hourly(t: Tables):
     out = t.events.frame.groupBy(F.window("ts", "1 hour")["start"].alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("v"))

@@ -75,6 +75,11 @@ class Query:
         self._typed()
         return self.where(F.col(self.kind) == name)
 
+    def is_type(self, name: str) -> Column:
+        """Whether a document is of a type; false for none."""
+        self._typed()
+        return F.coalesce(F.col(self.kind) == name, F.lit(False))
+
     def cast(self, name: str) -> Query:
         """All documents as one type; the result fails with CastError's text where one has another."""
         self._typed()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from docframe.plans.query import Query
 from docframe.plans.relations import Navigator, RelationCatalog, ToMany, ToOne
+from docframe.session import scratch_dir
+from docframe.sources.database import Database
 
 IDS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +44,19 @@ class Tables:
         return Navigator(relations, self.frame, IDS)
 
 
+def stored(t: Tables, *names: str, directory: bool = False) -> Database:
+    """A fresh database, in memory or a directory, with some of the tables as collections."""
+    db = Database(t.spark, f"{scratch_dir(t.spark)}/db-{uuid.uuid4().hex}" if directory else f"memory:{uuid.uuid4().hex}")
+    for name in names:
+        db.attach(name, t.frame(name), IDS[name])
+    return db
+
+
+def rows_of(t: Tables, kind: str, rows: list[Any]) -> DataFrame:
+    """What was answered on the driver, as a table."""
+    return t.spark.createDataFrame([tuple(r) for r in rows], kind)
+
+
 def query(sql: str | None = None) -> Callable:
     """Register a function of Tables under its name, with the SQL that has the same rows."""
 

@@ -154,11 +154,10 @@ class Database:
         return self.collection(name, T.StructType([T.StructField("Id", T.LongType()), T.StructField("Value", T.VariantType())]))
 
     def attach(self, name: str, df: DataFrame, id: str = "Id") -> Collection:
-        """Existing rows (a table, Parquet or JSON that was read) as a collection of a database in memory."""
-        if self.storage:
-            raise InvalidOperation("attach needs a database in memory")
+        """Existing rows (a table, Parquet or JSON that was read), with their ids, as a collection: as they are in a database in
+        memory, as a copy in a directory."""
         with self.transaction():
-            self._set("tables", name, [df])
+            self._set("tables", name, [df if self.storage is None else self.storage.write(name, df)])
             self._set("ids", name, id)
         return Collection(self, name, id, None)
 
@@ -321,11 +320,11 @@ class Collection:
             if f in df.columns:
                 continue
             try:
-                read = df.selectExpr(f)._jdf.queryExecution().analyzed()
+                plan = df.selectExpr(f)._jdf.queryExecution().analyzed()
             except AnalysisException as error:
                 raise InvalidOperation(f"can't be indexed: {f}") from error
-            used = read.expressions().mkString(" ")
-            if "#" not in used or "scalar-subquery" in used or re.search(rf"\b{self.id}#", used):
+            used = plan.references().mkString(" ")
+            if not used or "subquery" in plan.expressions().mkString(" ") or re.search(rf"\b{self.id}#", used):
                 raise InvalidOperation(f"can't be indexed: {f}")
         if not fields or self.id in fields:
             raise InvalidOperation(f"can't be indexed: {fields}")
@@ -350,12 +349,20 @@ class Collection:
         """The values of a unique key, of rows that have all of them."""
         return df.selectExpr(*(f"{f} AS k{i}" for i, f in enumerate(key))).dropna()
 
+    def duplicates(self, *fields: str) -> DataFrame:
+        """Keys (columns or SQL expressions) that more than one document has, as ``k0, k1, ...``, with their ``count``."""
+        return self._twice(self.df, fields)
+
+    def _twice(self, df: DataFrame, key: tuple[str, ...]) -> DataFrame:
+        values = self._keyed(df, key)
+        return values.groupBy(*values.columns).count().where("count > 1")
+
     def _check_unique(self, df: DataFrame, keys: Iterable[tuple[str, ...]], others: DataFrame | None = None) -> None:
         """No key twice in ``df``, nor in both ``df`` and ``others``."""
         for key in keys:
-            values = self._keyed(df, key)
-            twice = values.groupBy(*values.columns).count().where("count > 1").drop("count").limit(1).first()
+            twice = self._twice(df, key).drop("count").limit(1).first()
             if twice is None and others is not None:
+                values = self._keyed(df, key)
                 twice = values.join(self._keyed(others, key), values.columns, "left_semi").limit(1).first()
             if twice is not None:
                 raise UniqueViolation(f"{self.name}: more than one document with {dict(zip(key, twice, strict=True))}")
@@ -375,7 +382,7 @@ class Collection:
             r[self.id] = r.get(self.id) or top + 1
             top = max(top, r[self.id])
 
-    def _rows(self, items: Iterable[dict | Row] | DataFrame, number: bool = False) -> DataFrame:
+    def _rows(self, items: Iterable[dict | Row] | DataFrame, number: bool = False, *more: Column) -> DataFrame:
         schema = self.df.schema
         if isinstance(items, DataFrame):
             out = items
@@ -394,7 +401,8 @@ class Collection:
             out = self.db.spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], flat)
             for v in variants:
                 out = out.withColumn(v, F.parse_json(v))
-        return out.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in out.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+        kinds = {f.name: _open(f.dataType) for f in schema}
+        return out.select(*((F.col(n) if n in out.columns else F.lit(None)).cast(k).alias(n) for n, k in kinds.items()), *more)
 
     def _with_ids(self, fresh: DataFrame) -> DataFrame:
         """Give rows without an id (null or 0) the next ones; a negative id is refused."""
@@ -452,14 +460,11 @@ class Collection:
     def upsert_batch(self, items: Iterable[dict | Row] | DataFrame, last_wins: Column | None = None) -> None:
         """Insert, or replace documents of equal id or unique key. Of several items of one id the last in order of
         ``last_wins`` (else of the list) stays."""
-        fresh = self._rows(items)
-        if not isinstance(items, DataFrame):
-            fresh = fresh.withColumn("__at", F.monotonically_increasing_id())
-            last_wins = F.col("__at")
-        fresh = cut(fresh)
+        last_wins = last_wins if isinstance(items, DataFrame) else F.monotonically_increasing_id()
+        fresh = cut(self._rows(items, False, *([] if last_wins is None else [last_wins.alias("__at")])))
         given = fresh.where(F.coalesce(F.col(self.id).cast("string"), F.lit("0")) != "0")
         if last_wins is not None:
-            best = given.groupBy(self.id).agg(F.max_by(F.struct(*given.columns), last_wins).alias("__row")).select("__row.*")
+            best = given.groupBy(self.id).agg(F.max_by(F.struct(*given.columns), "__at").alias("__row")).select("__row.*")
             given = best
         new = fresh.where(F.coalesce(F.col(self.id).cast("string"), F.lit("0")) == "0")
         fresh = cut(self._with_ids(given.select(*self.df.columns).union(new.select(*self.df.columns))))
@@ -491,7 +496,7 @@ class Collection:
         old = self.df.withColumn("__hit", F.coalesce(condition, F.lit(False)))
         rows = old
         for s in steps:
-            rows = rows.withColumns({c: F.when(F.col("__hit"), v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(c)).cast(self.df.schema[c].dataType) for c, v in s.items()})
+            rows = rows.withColumns({c: F.when(F.col("__hit"), v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(c)).cast(_open(self.df.schema[c].dataType)) for c, v in s.items()})
         n = old.where("__hit").count()
         if n:
             self._write("update", rows.drop("__hit"), rows.where("__hit").drop("__hit"), old.where("__hit").drop("__hit"))
@@ -650,6 +655,17 @@ class Collection:
         return key
 
 
+def _open(kind: T.DataType) -> T.DataType:
+    """The type with everything in it nullable, to which all rows of the type can be cast."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_open(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(kind.keyType, _open(kind.valueType))
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _open(f.dataType)) for f in kind])
+    return kind
+
+
 def _literal(value: Any) -> str:
     if value is None or isinstance(value, (bool, int, float)):
         return {None: "NULL", True: "true", False: "false"}[value] if value is None or isinstance(value, bool) else repr(value)
