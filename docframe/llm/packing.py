@@ -52,14 +52,18 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE).search
+        added = self.model.get_added_tokens_decoder().values()
+        #: Contents of added tokens that are looked for in a text as it is, and in the text in lower case.
+        self.added, self.lowered = ([t.content if not t.normalized else t.content.lower() for t in added if t.normalized == n] for n in (False, True))
         vocab = self.model.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _spelled(self, text: str) -> bool:
+        return any(x in text for x in self.added) or (bool(self.lowered) and any(x in text.lower() for x in self.lowered))
+
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
@@ -84,7 +88,7 @@ class WordTokenizer:
         """Little-endian 32-bit ids of every text."""
         if len(self.known) > CACHE_WORDS:
             self.known, self.old = {}, self.known
-        words = [_WORDS(t.lower()) if _PLAIN(t) and not self.added(t) else None for t in texts]
+        words = [None if not _PLAIN(t) or self._spelled(t) else _WORDS(t.lower()) for t in texts]
         fresh = set(chain.from_iterable(w for w in words if w)).difference(self.known)
         if fresh:
             self.learn(fresh)
