@@ -379,15 +379,49 @@ def _videos(media: list[bytes]) -> tuple[list[Video], list[np.ndarray], np.ndarr
     return videos, decode([f for v in videos for f in v.frames]), np.array([len(v.frames) for v in videos], np.int64)
 
 
+#: What broken files and frames raise.
+BROKEN = (ValueError, IndexError, KeyError, OverflowError, struct.error)
+
+
+def _shown(frames: list[bytes]) -> list[np.ndarray]:
+    """The DC images of one video's frames. As in players, a frame that is empty or broken shows the one before it (the first
+    sound one, at the start); no sound frame gives none."""
+    out: list[np.ndarray | None] = []
+    for x in frames:
+        try:
+            out.append(decode([x])[0])
+        except BROKEN:
+            out.append(out[-1] if out else None)
+    sound = next((x for x in out if x is not None), None)
+    return [] if sound is None else [sound if x is None else x for x in out]
+
+
+def _any_videos(media: list[bytes]) -> tuple[list[Video], list[np.ndarray], np.ndarray]:
+    """:func:`_videos` of files that may be broken, together if all are sound, else one at a time; what isn't AVI has no frames."""
+    try:
+        return _videos(media)
+    except BROKEN:
+        pass
+    videos, images = [], []
+    for x in media:
+        try:
+            videos.append(parse_avi(x))
+        except BROKEN:
+            videos.append(Video())
+        images.append(_shown(videos[-1].frames))
+    return videos, [f for fs in images for f in fs], np.array([len(fs) for fs in images], np.int64)
+
+
 def clips(media: DataFrame) -> DataFrame:
     """CLIPS for every row of ``media`` (doc_id, media binary): shots with their times. A null
-    media or a video without frames has no rows."""
+    media, what isn't AVI and a video without a sound frame have no rows; a broken frame shows the one before it. Repeated
+    rows have rows each, null ids stay, an empty table has no rows, and other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column("media").is_valid())
             for part in slices(batch, "media"):
-                videos, frames, counts = _videos(texts_of(part, "media"))
+                videos, frames, counts = _any_videos(texts_of(part, "media"))
                 first = cuts_of(frames, counts)[0] if frames else np.zeros(0, bool)
                 rows, at = [], 0
                 for doc, video, n in zip(part.column("doc_id").to_pylist(), videos, counts.tolist(), strict=True):
@@ -398,11 +432,12 @@ def clips(media: DataFrame) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in CLIPS.split(", ")])
 
-    return arrow_map(media.select(F.col("doc_id").cast("long"), "media"), run, CLIPS)
+    return arrow_map(inputs(media, doc_id="long", media="binary"), run, CLIPS)
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """``doc_id, media``: each text's UTF-8 bytes, filled up with 255, as an AVI."""
+    """``doc_id, media``: each text's UTF-8 bytes, filled up with 255, as an AVI. Null and empty texts are one frame of
+    255s, null ids stay, repeated rows have a row each, an empty table none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,7 +10,7 @@ from docframe.llm import hmm, lines, minhash
 from docframe.llm.common import table
 from docframe.llm.iblt import fingerprints
 from docframe.llm.language import identify
-from docframe.llm.media import media_features
+from docframe.llm.media import clips, media_features, to_media
 from docframe.llm.mixing import mix
 from docframe.llm.packing import pack
 from docframe.llm.quality import classify
@@ -57,6 +57,11 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
 
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timed shots of every document stored as a video; nulls, repeats and empty tables as in :func:`clips`."""
+    return clips(to_media(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_media": op2_media,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_lines": op9_lines,
     "op10_hmm": op10_hmm,
+    "media_clips": media_clips,
 }
 
 SQL: dict[str, str] = {

@@ -64,3 +64,30 @@ def test_rejects_what_is_no_known_language():
     mixed = [f"{a} {b}" for a, b in zip(clean["en"], clean["fr"], strict=False)]
     margin = lambda texts: sum(model.predict(t)[2] for t in texts) / len(texts)
     assert margin(mixed) < 0.7 * margin(clean["en"])
+
+
+def test_equals_plain_compression(spark):
+    """Predictions of a table against one zstandard call a block and language, made here."""
+    import math
+
+    import zstandard
+
+    rows = [(i, t, name) for i, t, name, _ in corpus(80, seed=5) if name] + [(500, "the of " * 3000, "en"), (501, "der", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang.train(docs)
+    texts = {d: t for d, t, _ in rows}
+    for r in lang.predict(docs, model).collect():
+        plain, sizes = lang.normalised(texts[r.doc_id]), {}
+        for name, data in model.dictionaries.items():
+            options = zstandard.ZstdCompressionParameters.from_level(
+                3, source_size=lang.BLOCK_CHARS, dict_size=len(data), min_match=3, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False
+            )
+            raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw.precompute_compress(compression_params=options)
+            sizes[name] = sum(len(zstandard.ZstdCompressor(compression_params=options, dict_data=raw).compress(plain[i : i + lang.BLOCK_CHARS].encode())) for i in range(0, len(plain), lang.BLOCK_CHARS))
+        least = min(sizes.values())
+        ranked = sorted(sizes.values())
+        assert sizes[r.lang_pred] == least
+        assert abs(r.score - 1 / sum(math.exp((least - n) / lang.TEMPERATURE) for n in ranked)) < 1e-9
+        if ranked[1] > least:
+            assert abs(r.margin - (ranked[1] - least) / least) < 1e-12 and r.rejected == (r.margin < lang.MARGIN)

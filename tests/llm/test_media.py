@@ -101,3 +101,45 @@ def test_features_and_clips(spark):
     shots = [tuple(x)[1:] for x in m.clips(m.to_media(docs)).where("doc_id = 1").orderBy("clip").collect()]
     assert shots[0] == (0, 0, 20, 0.0, 0.8) and len(shots) >= 2
     assert m.media_features(docs.limit(0)).count() == 0
+
+
+def plain_cuts(frames):
+    """cuts_of for one video, frame by frame."""
+    hists = []
+    for f in frames:
+        h = [0] * m.HIST_BINS
+        for v in f.ravel().tolist():
+            h[v * m.HIST_BINS >> 8] += 1
+        hists.append(h)
+    share = [[x / sum(h) for x in h] for h in hists]
+    gap = [0.0] + [sum(abs(x - y) for x, y in zip(a, b, strict=True)) / 2 for a, b in zip(share, share[1:], strict=False)]
+    first = []
+    for i in range(len(frames)):
+        near = [gap[j] for j in range(max(1, i - m.WINDOW), min(len(frames), i + m.WINDOW + 1)) if j != i]
+        mean = sum(near) / max(1, len(near))
+        spread = max(0.0, sum(x * x for x in near) / max(1, len(near)) - mean**2) ** 0.5
+        first.append(i == 0 or (len(near) > 0 and gap[i] > m.FLOOR and gap[i] > round(mean + m.SIGMAS * spread, 9)))
+    return first, [sum(h[b] for h in hists) for b in range(m.HIST_BINS)]
+
+
+def test_features_equal_plain_python(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(pool) * rng.randint(1, 900) for pool in ("ab", "XYZ", "é", "0 1\n") for _ in range(rng.randint(0, 4))) for _ in range(25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in m.media_features(docs).collect():
+        frames = [np.frombuffer(x, np.uint8) for x in [m.padded(texts[r.doc_id].encode())[i : i + m.FRAME] for i in range(0, r.payload_bytes, m.FRAME)]]
+        first, hist = plain_cuts(frames)
+        marks = [*(i for i, x in enumerate(first) if x), len(frames)]
+        spans = ",".join(f"{a / m.FPS:.2f}-{b / m.FPS:.2f}" for a, b in zip(marks, marks[1:], strict=False))
+        assert r.feature == f"frames={len(frames)};clips={spans};hist={','.join(map(str, hist))}"
+
+
+def test_broken_media(spark):
+    good = m.store([m.padded(b"a" * 3456)])[0]
+    frame = m.parse_avi(good).frames[2]
+    torn = good.replace(frame, b"\0" * len(frame), 1)  # the first of equal frames
+    rows = [(1, good), (2, b"no media"), (3, good[: len(good) // 2]), (4, torn), (5, None), (6, b""), (7, b"RIFF\0\0"), (8, b"RIFF\xff\0\0\0AVI LIST")]
+    media = spark.createDataFrame(rows, "doc_id long, media binary").selectExpr("*", "1 as clip")
+    got = m.clips(media).collect()
+    spans = {d: [(r.clip, r[2], r[3]) for r in got if r.doc_id == d] for d, _ in rows}
+    assert spans[1] == spans[4] == [(0, 0, 6)] and spans[2] == spans[5] == spans[6] == spans[7] == spans[8] == []
