@@ -159,6 +159,7 @@ class Database:
         with self.transaction():
             self._set("tables", name, [df if self.storage is None else self.storage.write(name, df)])
             self._set("ids", name, id)
+            self._set("attached", name, True)
         return Collection(self, name, id, None)
 
     def exists(self, name: str) -> bool:
@@ -179,7 +180,7 @@ class Database:
             self._put(name, None)
             for r in self.relations.outbound(name):
                 self._set("relations", ".".join(r.key), None)
-            for section in ("ids", "indexes"):
+            for section in ("ids", "indexes", "attached"):
                 self._set(section, name, None)
         return True
 
@@ -263,7 +264,7 @@ class Database:
         with self.transaction(), other.transaction():
             for name in self.names():
                 other._put(name, self.table(name))
-            for section in ("indexes", "relations", "ids"):
+            for section in ("indexes", "relations", "ids", "attached"):
                 for key, value in self._section(section).items():
                     other._set(section, key, value)
 
@@ -371,7 +372,7 @@ class Collection:
 
     def _number(self, rows: list[dict]) -> None:
         """Give rows without an id the next one, in their order."""
-        if self.df.schema[self.id].dataType.typeName() not in ("long", "integer"):
+        if not self._numbers():
             return
         top = None
         for r in rows:
@@ -404,23 +405,35 @@ class Collection:
         kinds = {f.name: _open(f.dataType) for f in schema}
         return out.select(*((F.col(n) if n in out.columns else F.lit(None)).cast(k).alias(n) for n, k in kinds.items()), *more)
 
-    def _with_ids(self, fresh: DataFrame) -> DataFrame:
-        """Give rows without an id (null or 0) the next ones; a negative id is refused."""
-        if self.df.schema[self.id].dataType.typeName() not in ("long", "integer"):
+    def _numbers(self) -> bool:
+        """Whether documents without an id are numbered."""
+        return self.df.schema[self.id].dataType.typeName() in ("long", "integer")
+
+    def _zero_is_id(self) -> bool:
+        """Attached rows have ids of their own, and so may have 0; where documents are numbered it stands for none, unless one has it."""
+        return not self._numbers() or self.name in self.db._section("attached") or self.try_get(0) is not None
+
+    def _no_id(self, zero: bool) -> Column:
+        return F.col(self.id).isNull() if zero else F.coalesce(F.col(self.id), F.lit(0)) == 0
+
+    def _with_ids(self, fresh: DataFrame, zero: bool = False) -> DataFrame:
+        """Give rows without an id (null, or 0 unless ``zero`` is an id) the next ones; a negative id is refused."""
+        if not self._numbers():
             return fresh
-        facts = fresh.agg(F.min(self.id).alias("least"), F.count_if(F.coalesce(F.col(self.id), F.lit(0)) == 0).alias("open"), F.max(self.id).alias("most")).first()
+        none = self._no_id(zero)
+        facts = fresh.agg(F.min(self.id).alias("least"), F.count_if(none).alias("open"), F.max(self.id).alias("most")).first()
         if facts.least is not None and facts.least < 0:
             raise InvalidOperation("a negative id")
         if not facts.open:
             return fresh
         top = max(self.df.agg(F.max(self.id)).first()[0] or 0, facts.most or 0)
         fresh = cut(fresh.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
-        rows = fresh.where(F.coalesce(F.col(self.id), F.lit(0)) == 0)
+        rows = fresh.where(none)
         counts = rows.groupBy("__part").count().selectExpr("__part", "sum(count) over (order by __part) - count as __before")
         numbered = rows.withColumn("__n", F.expr("row_number() over (partition by __part order by __at)")).join(F.broadcast(counts), "__part")
         named = numbered.withColumn(self.id, (F.col("__n") + F.col("__before") + top).cast(self.df.schema[self.id].dataType))
         keep = self.df.columns
-        return named.select(*keep).union(fresh.where(F.coalesce(F.col(self.id), F.lit(0)) != 0).select(*keep))
+        return named.select(*keep).union(fresh.where(~none).select(*keep))
 
     def _write(self, kind: str, rows: DataFrame, items: DataFrame | None, old: DataFrame | None, unique: bool = True) -> None:
         """Replace the table's rows. The indexed keys of ``items`` are checked against the rows that they don't replace."""
@@ -459,15 +472,18 @@ class Collection:
 
     def upsert_batch(self, items: Iterable[dict | Row] | DataFrame, last_wins: Column | None = None) -> None:
         """Insert, or replace documents of equal id or unique key. Of several items of one id the last in order of
-        ``last_wins`` (else of the list) stays."""
+        ``last_wins`` (else of the list) stays. Items without an id are numbered: those of null and, unless the rows
+        were attached or a document has it, of 0."""
         last_wins = last_wins if isinstance(items, DataFrame) else F.monotonically_increasing_id()
         fresh = cut(self._rows(items, False, *([] if last_wins is None else [last_wins.alias("__at")])))
-        given = fresh.where(F.coalesce(F.col(self.id).cast("string"), F.lit("0")) != "0")
+        zero = self._zero_is_id()
+        none = self._no_id(zero)
+        given = fresh.where(~none)
         if last_wins is not None:
             best = given.groupBy(self.id).agg(F.max_by(F.struct(*given.columns), "__at").alias("__row")).select("__row.*")
             given = best
-        new = fresh.where(F.coalesce(F.col(self.id).cast("string"), F.lit("0")) == "0")
-        fresh = cut(self._with_ids(given.select(*self.df.columns).union(new.select(*self.df.columns))))
+        new = fresh.where(none)
+        fresh = cut(self._with_ids(given.select(*self.df.columns).union(new.select(*self.df.columns)), zero))
         kept = self.df.join(fresh.select(self.id), self.id, "left_anti")
         for key in self._unique():
             mine = self._keyed(fresh, key)

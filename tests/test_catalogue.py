@@ -42,3 +42,15 @@ def test_equals_sql(spark, db, name):
     assert sorted((tuple(plain(r[k]) for k in cols) for r in df.collect()), key=str) == want
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "Python" not in plan
+
+
+@pytest.mark.parametrize("nations", [[0, 1, 2], [1, 2], []])
+def test_upsert_batch_of_id_0(spark, tmp_path, nations):
+    """Several suppliers of nation 0, which is there or isn't."""
+    spark.createDataFrame([(n, f"n{n}", 0) for n in nations], "n_nationkey int, n_name string, n_regionkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([(i, f"s{i}", n) for i, n in ((1, 0), (3, 0), (2, 0), (4, 2), (5, 7))], "s_suppkey long, s_name string, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    small = duckdb.connect()
+    for name in ("nation", "supplier"):
+        small.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(small.execute(SQL["upsert_batch"]).fetchall())
+    assert sorted(map(tuple, QUERIES["upsert_batch"](spark, str(tmp_path)).collect())) == want

@@ -83,6 +83,38 @@ def test_unique_index_and_transactions(spark, db):
     assert users.drop_index("Name") and not users.drop_index("Name")
 
 
+def test_upsert_of_id_0(spark, db, tmp_path):
+    """0 is an id of attached rows, and where a document has it."""
+    col = db.attach("A", spark.createDataFrame([(0, "zero"), (1, "one")], "Id int, Name string"))
+    col.upsert({"Id": 0, "Name": "z"})
+    assert names(col) == {0: "z", 1: "one"}
+    items = spark.createDataFrame([(0, "last", 2), (0, "first", 1), (None, "new", 3), (1, "uno", 4)], "Id int, Name string, At int")
+    col.upsert_batch(items, last_wins=c("At"))
+    assert sorted(map(tuple, col.df.collect())) == [(0, "last"), (1, "uno"), (2, "new")]
+    col.delete(0)
+    db.backup(str(tmp_path / "copy"))
+    copy = Database(spark, str(tmp_path / "copy")).collection("A")
+    copy.upsert({"Id": 0, "Name": "back"})
+    assert names(copy) == {0: "back", 1: "uno", 2: "new"}
+    users = db.collection("User", USER)
+    db._put("User", spark.createDataFrame([(0, "old", 1, None, None)], USER))
+    users.upsert({"Id": 0, "Name": "new"})
+    assert names(users) == {0: "new"}
+
+
+def test_upsert_without_ids(spark):
+    """0 is no id in a collection that numbers its documents, nor in one of the name of attached rows that were dropped; "0" is one."""
+    db = Database(spark, "memory:without")
+    db.attach("User", spark.createDataFrame([], USER))
+    db.drop("User")
+    users = db.collection("User", USER)
+    users.upsert_batch([{"Id": 0, "Name": "a"}, {"Id": 0, "Name": "b"}, {"Id": 4, "Name": "d"}])
+    assert sorted((r.Id, r.Name) for r in users.df.collect()) in ([(4, "d"), (5, "a"), (6, "b")], [(4, "d"), (5, "b"), (6, "a")])
+    texts = db.collection("T", schema({"Id": "string", "Name": "string"}, None))
+    texts.upsert_batch([{"Id": "a", "Name": "a"}, {"Id": "0", "Name": "first"}, {"Id": "0", "Name": "last"}])
+    assert sorted(map(tuple, texts.df.collect())) == [("0", "last"), ("a", "a")]
+
+
 def test_generated_ids(db):
     kind = schema({"Id": "string", "Data": "string"}, None)
     col = db.collection("Obj", kind, generate=lambda col, item: f"id-{item['Data']}")
