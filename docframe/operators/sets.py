@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes, as planned from the sizes of files, whose rows one task compares in once_each.
+SHARE = 2 << 20
+#: From this on a planned size says nothing.
+UNKNOWN = 1 << 50
+
+
+def once_each(df: DataFrame) -> DataFrame:
+    """``df`` without repeats, for tables of few: rows are dealt by value to as many tasks as the size asks for, so that what a
+    task holds doesn't grow with the table, whatever number of partitions the session has or makes of them."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(size // SHARE + 1, *df.columns).distinct() if 0 <= size < UNKNOWN else df.distinct()
+
 
 def concat(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b)

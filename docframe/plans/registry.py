@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docframe.operators import sets
 from docframe.plans.query import Query
 from docframe.plans.relations import Navigator, RelationCatalog, ToMany, ToOne
 from docframe.session import scratch_dir
@@ -26,7 +27,7 @@ class Tables:
 
     def frame(self, name: str) -> DataFrame:
         if name == "supplies":  # which supplier delivers which part, as a link table
-            return self.frame("lineitem").select("l_suppkey", "l_partkey").distinct()
+            return sets.once_each(self.frame("lineitem").select("l_suppkey", "l_partkey"))
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def __getattr__(self, name: str) -> Query:

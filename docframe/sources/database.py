@@ -566,12 +566,18 @@ class Collection:
             raise NotSupported("the relation has no link table")
         return rel
 
+    def _missing(self, rel: ToMany, source: Any, targets: Iterable[Any]) -> DataFrame:
+        """The source's links to these targets that don't exist. Of the link table only the same links are compared; all
+        others are left out where they are read."""
+        known = self.db.table(rel.links)
+        fresh = self.db.spark.createDataFrame([(source, t) for t in dict.fromkeys(targets)], known.schema)
+        same = known.where(F.col(rel.source_field) == F.lit(source)).join(F.broadcast(fresh), known.columns, "left_semi")
+        return fresh.join(same, known.columns, "left_anti")
+
     def link(self, name: str, source: Any, *targets: Any) -> None:
         """Add targets to a to-many relation; links that exist stay single."""
         rel = self._linked(name)
-        known = self.db.table(rel.links)
-        fresh = self.db.spark.createDataFrame([(source, t) for t in dict.fromkeys(targets)], known.schema)
-        self.db._append(rel.links, fresh.join(known, known.columns, "left_anti"))
+        self.db._append(rel.links, self._missing(rel, source, targets))
 
     def unlink(self, name: str, source: Any, *targets: Any) -> None:
         """Remove targets (none given: all) from a to-many relation."""
@@ -586,10 +592,10 @@ class Collection:
         rel, targets = self._linked(name), list(dict.fromkeys(targets))
         with self.db.transaction():
             known = self.db.table(rel.links)
-            stale = F.coalesce((F.col(rel.source_field) == F.lit(source)) & ~F.col(rel.target_field).isin(targets), F.lit(False))
-            fresh = self.db.spark.createDataFrame([(source, t) for t in targets], known.schema).join(known, known.columns, "left_anti")
+            stale = (F.col(rel.source_field) == F.lit(source)) & ~F.col(rel.target_field).isin(targets)
+            fresh = self._missing(rel, source, targets)
             if known.where(stale).limit(1).count():
-                self.db._put(rel.links, known.where(~stale).union(fresh))
+                self.db._put(rel.links, known.where(~F.coalesce(stale, F.lit(False))).union(fresh))
             elif targets:
                 self.db._append(rel.links, fresh)
 

@@ -5,8 +5,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from docframe.operators import sets
 from docframe.plans.catalogue import QUERIES, SQL
+from docframe.plans.registry import Tables
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -54,3 +57,22 @@ def test_upsert_batch_of_id_0(spark, tmp_path, nations):
         small.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
     want = sorted(small.execute(SQL["upsert_batch"]).fetchall())
     assert sorted(map(tuple, QUERIES["upsert_batch"](spark, str(tmp_path)).collect())) == want
+
+
+def test_links_a_task_holds(spark, tmp_path, monkeypatch):
+    """A task holds no more of the supplies where there are more of them, and all of them are there once."""
+    monkeypatch.setattr(sets, "SHARE", 1 << 15, raising=False)
+    most = {}
+    for n in (5_000, 30_000):
+        pairs = spark.range(n).select(F.expr("nullif(id % 7, 0)").alias("l_suppkey"), F.expr("xxhash64(id % 7, id div 14)").alias("l_partkey"))  # each twice
+        pairs.coalesce(1).write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
+        found = Tables(spark, f"{tmp_path}/{n}").frame("supplies")
+        most[n] = max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect())
+        assert found.columns == pairs.columns and sorted(map(str, found.collect())) == sorted({str(r) for r in pairs.collect()})
+    assert most[30_000] < 2 * most[5_000]
+
+
+def test_once_each_of_unknown_size(spark):
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([(1, None), (1, None), (2, "b"), (None, "b"), (1, None)]), "a int, b string")
+    assert sorted(map(tuple, sets.once_each(rows).collect()), key=str) == sorted([(1, None), (2, "b"), (None, "b")], key=str)
+    assert sets.once_each(rows.limit(0)).collect() == []

@@ -156,6 +156,41 @@ def test_policies(db):
     assert db.names() == ["Member", "MemberFriends", "Team", "TeamMembers"] and db.drop("Team") and not db.drop("Nope", missing_ok=True)
 
 
+def test_links_of_others_are_not_compared(spark):
+    """Of a link table that is read anew, ``link`` takes the links of its owner only, ``set_links`` the others to write them
+    only (which counts twice here: for the filter and for the rows)."""
+    db = Database(spark, "memory:links")
+    db.attach("A", spark.createDataFrame([(1,), (2,)], "Id long"))
+    db.attach("B", spark.range(1, 2000).toDF("Id"))
+    db.relate(ToMany("A", "Bs", "B", "Id", "AB"))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def same(x):
+        seen.add(1)
+        return x
+
+    def taken(step):
+        """The rows of a fresh link table that a step takes, and the links it leaves."""
+        links = spark.range(1, 2000).select(F.when(c("id") < 5, 1).otherwise(2).cast("long").alias("SourceId"), same("id").alias("TargetId"))
+        db.attach("AB", links, "SourceId")
+        before = seen.value
+        step(db.collection("A"))
+        n = seen.value - before
+        return n, sorted(r.TargetId for r in db.table("AB").where("SourceId = 1").collect()), db.table("AB").count()
+
+    n, mine, total = taken(lambda a: a.link("Bs", 1, 3, 9, 9, 4))
+    assert n < 100 and mine == [1, 2, 3, 4, 9] and total == 2000
+    n, mine, total = taken(lambda a: a.link("Bs", 7, 3, 3))
+    assert n < 100 and mine == [1, 2, 3, 4] and total == 2000
+    n, mine, total = taken(lambda a: a.set_links("Bs", 1, [4, 2, 8, 2]))
+    assert n < 4100 and mine == [2, 4, 8] and total == 1998
+    n, mine, total = taken(lambda a: a.set_links("Bs", 1, []))
+    assert n < 4100 and mine == [] and total == 1995
+    n, mine, total = taken(lambda a: a.set_links("Bs", 1, [1, 2, 3, 4, 5]))
+    assert n < 100 and mine == [1, 2, 3, 4, 5] and total == 2000
+
+
 def test_cascade_and_unlink(spark):
     db = Database(spark, "memory:x")
     a, b = db.collection("A", schema({"B": "ref"})), db.collection("B", schema({"N": "int32"}))
